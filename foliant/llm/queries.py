@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encodings
+from foliant.llm import boilerplate, encodings
 from foliant.sources.tables import table
 
 
@@ -17,7 +17,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_repaired(spark, d).select("rec_kind", "rec_key")
 
 
+def _boilerplate(spark: SparkSession, d: str, **options) -> boilerplate.Boilerplate:
+    return boilerplate.Boilerplate(table(spark, d, "text_items"), table(spark, d, "candidate_exports"), table(spark, d, "canonical_models"), **options)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _boilerplate(spark, d).places()
+
+
+def p3_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each repeated line of each site, with the clusters, dates and items that hold it."""
+    return _boilerplate(spark, d, with_dates=True).report()
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without its site's repeated lines."""
+    return _boilerplate(spark, d).cleaned()
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_lines": p3_lines,
+    "p3_cleaned": p3_cleaned,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
 }
