@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import boilerplate, encodings
+from foliant.llm import boilerplate, encodings, sentences
 from foliant.sources.tables import table
 
 
@@ -35,10 +35,15 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return _boilerplate(spark, d).cleaned()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.corpus_sentences(table(spark, d, "text_pages"), table(spark, d, "candidate_exports"), table(spark, d, "text_items"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_lines": p3_lines,
     "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
 }
