@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import boilerplate, encodings, sentences
+from foliant.llm import boilerplate, encodings, sentences, shared_spans
 from foliant.sources.tables import table
 
 
@@ -39,6 +39,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.corpus_sentences(table(spark, d, "text_pages"), table(spark, d, "candidate_exports"), table(spark, d, "text_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """For each document how much of its text is found elsewhere."""
+    documents = table(spark, d, "documents")
+    return shared_spans.SharedSpans(documents).report(documents)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_lines": p3_lines,
@@ -46,6 +56,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
+    "p8_found": p8_found,
+    "p8_coverage": p8_coverage,
 }
 
 ORACLE_SQL: dict[str, str] = {}
