@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import boilerplate, encodings, sentences, shared_spans
+from foliant.llm import boilerplate, encodings, mixing, packing, sentences, shared_spans, splitting
 from foliant.sources.tables import table
 
 
@@ -49,15 +49,81 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(documents).report(documents)
 
 
+#: Overlap of consecutive pieces, in the unit of each limit.
+OVERLAP = 60
+
+
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(table(spark, d, "text_chunks"), table(spark, d, "candidate_exports"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.summary(_oversized(spark, d))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered pieces of all oversized items, overlapping."""
+    return splitting.pieces(_oversized(spark, d), OVERLAP)
+
+
+def _packing(spark: SparkSession, d: str) -> packing.Packing:
+    return packing.Packing(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).placement()
+
+
+def p6_unused(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).unused()
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).mixture()
+
+
+def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).chosen()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_lines": p3_lines,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
+    "p6_placed": p6_placed,
+    "p6_unused": p6_unused,
+    "p7_mixture": p7_mixture,
+    "p7_chosen": p7_chosen,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BLANK = r"\r?\n(?:[ \t]*\r?\n)+"
+
+
+def _cut_sql(kind: str, key: str, source: str, size: str, limit: int) -> str:
+    longest = lambda cut: f"list_max(list_transform(regexp_split_to_array(text, '{cut}'), x -> {size}(x)))"
+    return f"""SELECT '{kind}' AS rec_kind, {key} AS rec_key,
+      CASE WHEN {longest(_BLANK)} <= {limit} THEN 'paragraph' WHEN {longest(_WS)} <= {limit} THEN 'word' ELSE 'forced' END AS cut_at
+      FROM {source} WHERE {size}(text) > {limit}"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": _cut_sql("chunk", "chunk_key", "text_chunks", "strlen", splitting.CHUNK_BYTES)
+    + " UNION ALL " + _cut_sql("candidate", "candidate_key", "candidate_exports", "length", splitting.CANDIDATE_CHARS),
+}
