@@ -46,7 +46,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     """For each document how much of its text is found elsewhere."""
     documents = table(spark, d, "documents")
-    return shared_spans.SharedSpans(documents).report(documents)
+    return shared_spans.SharedSpans(documents, edges=True).report(documents)
 
 
 #: Overlap of consecutive pieces, in the unit of each limit.
@@ -117,7 +117,7 @@ _BLANK = r"\r?\n(?:[ \t]*\r?\n)+"
 
 
 def _cut_sql(kind: str, key: str, source: str, size: str, limit: int) -> str:
-    longest = lambda cut: f"list_max(list_transform(regexp_split_to_array(text, '{cut}'), x -> {size}(x)))"
+    longest = lambda cut: f"list_max(list_transform(regexp_split_to_array(text, '{cut}'), lambda x: {size}(x)))"
     return f"""SELECT '{kind}' AS rec_kind, {key} AS rec_key,
       CASE WHEN {longest(_BLANK)} <= {limit} THEN 'paragraph' WHEN {longest(_WS)} <= {limit} THEN 'word' ELSE 'forced' END AS cut_at
       FROM {source} WHERE {size}(text) > {limit}"""

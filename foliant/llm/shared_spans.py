@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.codepoints import MIX
+from foliant.llm.codepoints import MIX, mix
 from foliant.session import materialize
 
 #: Characters handled at a time in one task.
@@ -128,51 +128,95 @@ def _sampler(length: int, window: int):
     return run
 
 
+def _texts_together(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows in groups of about SEGMENT characters: the rows, their code points in a row, and where each text starts."""
+    sizes = batch["text"].str.len().to_numpy(dtype=np.int64)
+    group = np.cumsum(sizes) // SEGMENT
+    for k in np.unique(group):
+        rows = batch[group == k]
+        points = np.frombuffer("".join(rows["text"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        yield rows, points, np.concatenate([[0], np.cumsum(sizes[group == k])])
+
+
 def _extender(length: int, half: int):
-    """Extends each repeated window of length half / 2 to ``half`` on both sides; emits doc_id, q, h, and the hash of all around."""
+    """Extends each repeated window of length half / 2 to ``half`` on both sides.
+
+    Emits doc_id, q, h of [q, q + half), and the hashes of the two windows of the full length that
+    begin or end with it; a window that would reach beyond its text has a hash of its own.
+    """
     quarter = half // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                w, n = Windows(points), len(points)
-                p = np.asarray(places, dtype=np.int64)
-                q = np.unique(np.concatenate([p[p + half <= n], p[p >= quarter] - quarter]))
-                if not len(q):
+            for rows, points, offsets in _texts_together(batch):
+                w, v = Windows(points), Windows(points, 1)
+                k = np.repeat(np.arange(len(rows)), rows["places"].str.len().to_numpy(dtype=np.int64))
+                p = np.concatenate(rows["places"].to_list()).astype(np.int64)
+                n = np.diff(offsets)[k]
+                right, left = p + half <= n, p >= quarter
+                k, q = np.concatenate([k[right], k[left]]), np.concatenate([p[right], p[left] - quarter])
+                places = np.unique(offsets[k] + q)
+                k = np.searchsorted(offsets, places, side="right") - 1
+                if not len(places):
                     continue
-                low, high = np.maximum(q - (length - half), 0), np.minimum(q + length, n)
-                around = w.at(low, high)
-                ends = (q - low) * 1_000_003 + (high - q)  # how much there is on each side
-                yield pd.DataFrame({"doc_id": doc_id, "q": q.astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32), "h": w.at(q, q + half).view(np.int64), "around": (around + _final(ends.astype(np.uint64))).view(np.int64)})
+                out = {"doc_id": rows["doc_id"].to_numpy()[k], "q": (places - offsets[k]).astype(np.int32), "h": w.at(places, places + half).view(np.int64)}
+                alone = _final(mix(out["doc_id"].view(np.uint64), places.astype(np.uint64)))
+                for side, start in (("l", places - (length - half)), ("r", places)):
+                    fits = (start >= offsets[k]) & (start + length <= offsets[k + 1])
+                    at = np.where(fits, start, 0)
+                    end = np.where(fits, start + length, 0)
+                    out[f"{side}h"] = np.where(fits, w.at(at, end), alone).view(np.int64)
+                    out[f"{side}g"] = np.where(fits, (v.at(at, end) >> np.uint64(33)).astype(np.int32), -1).astype(np.int32)
+                yield pd.DataFrame(out)
 
     return run
 
 
 def _completer(length: int, half: int):
-    """Extends each repeated window of length ``half`` to ``length`` at every offset; emits class, start, h, g."""
+    """Extends each repeated window of length ``half`` to ``length`` at every offset; emits around, shift, h, g."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            frames = []
-            for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                w, v, n = Windows(points), Windows(points, 1), len(points)
-                for r in places:
-                    start = np.arange(max(0, r["q"] - (length - half)), min(r["q"], n - length) + 1)
-                    if len(start):
-                        frames.append((np.full(len(start), r["around"], dtype=np.int64), (start - r["q"]).astype(np.int32), w.at(start, start + length).view(np.int64), (v.at(start, start + length) >> np.uint64(33)).astype(np.int32)))
-            if frames:
-                yield pd.DataFrame(dict(zip(("around", "shift", "h", "g"), (np.concatenate(c) for c in zip(*frames)))))
+            for rows, points, offsets in _texts_together(batch):
+                w, v = Windows(points), Windows(points, 1)
+                k = np.repeat(np.arange(len(rows)), rows["places"].str.len().to_numpy(dtype=np.int64))
+                q = np.array([r["q"] for own in rows["places"] for r in own], dtype=np.int64)
+                around = np.array([r["around"] for own in rows["places"] for r in own], dtype=np.int64)
+                shifts = np.arange(-(length - half), 1)
+                start = (offsets[k] + q)[:, None] + shifts
+                fits = (start >= offsets[k][:, None]) & (start + length <= offsets[k + 1][:, None])
+                at = start[fits]
+                yield pd.DataFrame({
+                    "around": np.broadcast_to(around[:, None], fits.shape)[fits], "shift": np.broadcast_to(shifts, fits.shape)[fits].astype(np.int32),
+                    "h": w.at(at, at + length).view(np.int64), "g": (v.at(at, at + length) >> np.uint64(33)).astype(np.int32),
+                })
 
     return run
 
 
+#: Bits of the filter that keeps texts without a repeated window out of the shuffle: 1 MB, whatever the corpus' size.
+FILTER_BITS = 1 << 23
+
+
+def _held(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``texts`` joined with ``places`` by doc_id; a bitmap of fixed size drops most other texts before they are shuffled."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = places.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "bucket")
+    likely = likely.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
+    return likely.drop("bucket", "bits").join(places, "doc_id")
+
+
 class SharedSpans:
-    """Runs of at least ``length`` characters that different records have in common."""
+    """Runs of at least ``length`` characters that different records have in common.
+
+    ``edges`` finds where each run begins and ends, which coverage needs; pairs do without.
+    """
 
-    def __init__(self, documents: DataFrame, length: int = 200):
-        self.length, half, quarter = length, length // 2, length // 4
+    def __init__(self, documents: DataFrame, length: int = 200, edges: bool = False):
+        self.length, self.edges, half, quarter = length, edges, length // 2, length // 4
         if quarter < 4:
             raise ValueError("length must be at least 16")
         texts = documents.select("doc_id", "text").filter(F.length("text") >= length)
@@ -188,13 +232,16 @@ class SharedSpans:
         samples = samples.join(doubles, "doc_id", "left_anti")
         again = self._repeated(samples.select("h", "doc_id"), "h")
         places = samples.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-        held = materialize(texts.join(places, "doc_id"), "texts-with-repeats")
-
-        wider = materialize(held.mapInPandas(_extender(length, half), "doc_id long, q int, low int, high int, h long, around long"), "wider-windows")
-        groups = wider.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("around").alias("a0"), F.max("around").alias("a1")).filter("d0 <> d1")
-        kept = wider.join(groups.select("h", (F.col("a0") != F.col("a1")).alias("mixed")), "h")
+        held = materialize(_held(texts, places), "texts-with-repeats")
+
+        wider = materialize(held.mapInPandas(_extender(length, half), "doc_id long, q int, h long, lh long, lg int, rh long, rg int"), "wider-windows")
+        groups = wider.groupBy("h").agg(
+            F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("lh") != F.max("lh")).alias("l"), (F.min("rh") != F.max("rh")).alias("r")
+        ).filter("d0 <> d1")
+        mixed = (F.col("l") | F.col("r")) if edges else (F.col("l") & F.col("r"))
+        kept = wider.join(groups.select("h", mixed.alias("mixed")), "h")
         #: Occurrences of windows repeated at half the length; equal surroundings, one class.
-        self.places = materialize(kept.select("doc_id", "q", "low", "high", "around", "mixed"), "half-windows")
+        self.places = materialize(kept.select("doc_id", "q", "lh", "lg", "rh", "rg", "mixed", F.xxhash64("lh", "rh", "lg", "rg").alias("around")), "half-windows")
         first = self.places.filter("mixed").groupBy("around").agg(F.min(F.struct("doc_id", "q")).alias("x")).select("around", "x.doc_id", "x.q")
         firsts = first.groupBy("doc_id").agg(F.collect_list(F.struct("q", "around")).alias("places"))
         whole = held.select("doc_id", "text").join(firsts, "doc_id").mapInPandas(_completer(length, half), "around long, shift int, h long, g int")
@@ -203,6 +250,13 @@ class SharedSpans:
         #: (window of the full length, class) for windows in more than one class.
         self.windows = materialize(whole.join(shared, ["h", "g"], "left_semi"), "shared-windows")
 
+    def _sides(self) -> DataFrame:
+        """The windows of the full length that begin or end with a window repeated at half the length: key, doc_id, start."""
+        rest = self.length - self.length // 2
+        both = [(F.xxhash64(f"{s}h", f"{s}g"), F.col(f"{s}g"), F.col("q") - (rest if s == "l" else 0)) for s in "lr"]
+        out = [self.places.filter(g >= 0).select(key.alias("key"), "doc_id", start.alias("s")) for key, g, start in both]
+        return out[0].unionByName(out[1])
+
     @staticmethod
     def _repeated(rows: DataFrame, *keys: str, of: str = "doc_id") -> DataFrame:
         """Keys that occur with more than one value of ``of``; pre-aggregated, no group is collected."""
@@ -210,19 +264,17 @@ class SharedSpans:
 
     @staticmethod
     def _one_of_each(rows: DataFrame, key: str, member: str) -> DataFrame:
-        """One key for each different set of members, with its members."""
-        rows = rows.select(key, member).distinct()
+        """One key for each different set of members, with its members; rows are distinct."""
         sets = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), member)).alias("y"))
         one = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min(key).alias(key)).select(key)
         return rows.join(one, key, "left_semi")
 
     def pairs(self) -> DataFrame:
         """Pairs of different records with a common run: doc_id_a < doc_id_b. As many rows as there are pairs, no candidate pairs before."""
-        of_class = self.places.filter(F.col("high") - F.col("low") >= self.length).select("around", "doc_id").distinct()
-        alike = of_class.select(F.col("around").alias("key"), "doc_id")
-        met = self._one_of_each(self.windows.select(F.xxhash64("h", "g").alias("key"), "around"), "key", "around")
+        sides = self._sides().select("key", "doc_id")
+        met = self._one_of_each(self.windows.select(F.xxhash64("h", "g").alias("key"), "around").distinct(), "key", "around")
         joined = met.join(self.places.select("around", "doc_id").distinct(), "around").select("key", "doc_id")
-        sets = self._one_of_each(alike.unionByName(joined), "key", "doc_id")
+        sets = materialize(self._one_of_each(materialize(sides.unionByName(joined).distinct(), "window-holders"), "key", "doc_id"), "holder-sets")
         a, b = sets.withColumnRenamed("doc_id", "a"), sets.withColumnRenamed("doc_id", "b")
         between = a.join(b, "key").filter("a < b").select("a", "b").distinct()
         # equal texts: each stands for its class, so pairs of classes become pairs of their members
@@ -238,11 +290,12 @@ class SharedSpans:
 
         Equal texts count as found elsewhere in full.
         """
-        whole_class = self._repeated(self.places.filter(F.col("high") - F.col("low") >= self.length).select("around", "doc_id"), "around")
-        alike = self.places.join(whole_class, "around", "left_semi").select("doc_id", F.col("low").alias("s"), F.col("high").alias("e"))
-        met = self.windows.select("around", "shift").distinct().join(self.places.select("around", "doc_id", "q"), "around")
-        met = met.select("doc_id", (F.col("q") + F.col("shift")).alias("s")).select("doc_id", "s", (F.col("s") + self.length).alias("e"))
-        spans = merged(alike.unionByName(met))
+        if not self.edges:
+            raise ValueError("coverage needs the exact ends of every span: edges=True")
+        met = self.windows.select("around", "shift", F.xxhash64("h", "g").alias("key")).join(self.places.select("around", "doc_id", "q"), "around")
+        found = self._sides().unionByName(met.select("key", "doc_id", (F.col("q") + F.col("shift")).alias("s"))).distinct()
+        elsewhere = found.join(self._repeated(found, "key"), "key", "left_semi")
+        spans = merged(elsewhere.select("doc_id", "s").distinct().withColumn("e", F.col("s") + self.length))
         per = spans.groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
         return per
 
