@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import kinds, measure, text
-from foliant.operators import allocation, annotations, concepts, evaluation, matching, pages, segments, store
+from foliant.operators import allocation, annotations, concepts, diagnostics, evaluation, matching, pages, segments, store
 from foliant.plans import sql as S
 from foliant.sources import files
 from foliant.sources.tables import table
@@ -603,3 +603,94 @@ def top_candidate_per_page(s, d):
 def fixture_json(s, d):
     rows = table(s, d, "fixture_thresholds").filter("fixture_type is not null and baseline_name is not null")
     return rows.select("fixture", F.to_json(F.struct("fixture", "fixture_type", "baseline_name")).alias("json"))
+
+
+# diagnostics
+
+_RANGES = f"""(WITH r AS (SELECT document_id, page, item_no, {S.match_form("coalesce(str, '')")} AS form, CASE WHEN lag(coalesce(str, '')) OVER w IS NULL OR (regexp_matches(lag(coalesce(str, '')) OVER w, '(?i)[a-z]-\\s*$') AND regexp_matches(coalesce(str, ''), '(?i)^\\s*[a-z]')) THEN 0 ELSE 1 END AS gap
+    FROM {S.ITEMS} WINDOW w AS (PARTITION BY document_id, page ORDER BY item_no)),
+  e AS (SELECT *, sum(gap + length(form)) OVER (PARTITION BY document_id, page ORDER BY item_no ROWS UNBOUNDED PRECEDING) AS e FROM r)
+  SELECT document_id, page, item_no, form, gap, CAST(e - length(form) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM e)"""
+_MATCHES = f"""(SELECT candidate_key AS unit, document_id, page, CAST(instr(whole, part) - 1 AS INTEGER) AS start, CAST(instr(whole, part) - 1 + length(part) AS INTEGER) AS "end" FROM
+  (SELECT candidate_key, document_id, page, {S.match_form('text')} AS part FROM candidate_exports WHERE text IS NOT NULL) JOIN
+  (SELECT document_id, page, string_agg(CASE WHEN gap = 1 THEN ' ' ELSE '' END || form, '' ORDER BY item_no) AS whole FROM {_RANGES} GROUP BY ALL) USING (document_id, page) WHERE part <> '' AND contains(whole, part))"""
+
+
+def _match_ranges(s, d) -> DataFrame:
+    return diagnostics.match_ranges(_items(s, d))
+
+
+def _item_matches(s, d) -> DataFrame:
+    c = table(s, d, "candidate_exports").filter("text is not null").select(F.col("candidate_key").alias("unit"), *PAGE, text.match_form(F.col("text")).alias("part"))
+    rows = c.join(diagnostics.match_text(_match_ranges(s, d)), PAGE).filter((F.col("part") != "") & F.contains("whole", "part"))
+    at = text.exact_index(F.col("whole"), F.col("part")).cast("int")
+    return rows.select("unit", *PAGE, at.alias("start"), (at + F.char_length("part")).alias("end"))
+
+
+@query(f"SELECT document_id, page, item_no, form, start, \"end\" FROM {_RANGES}")
+def match_ranges(s, d):
+    return _match_ranges(s, d).drop("gap")
+
+
+@query(f"SELECT unit, m.document_id, m.page, item_no FROM {_MATCHES} m JOIN {_RANGES} r ON r.document_id = m.document_id AND r.page = m.page AND r.\"end\" > m.start AND r.start < m.\"end\"")
+def items_of_matches(s, d):
+    return diagnostics.items_of_matches(_item_matches(s, d), _match_ranges(s, d))
+
+
+@query(f"""WITH u AS (SELECT candidate_key AS unit, {S.match_form('text')} AS part FROM candidate_exports WHERE text IS NOT NULL), t AS (SELECT unit, sum("end" - start) AS matched, count(*) AS n FROM {_MATCHES} GROUP BY 1),
+  r AS (SELECT unit, coalesce(n, 0) AS n_matches, least(1.0, coalesce(CAST(coalesce(matched, 0) AS DOUBLE) / nullif(length(part), 0), 0.0)) AS share FROM u LEFT JOIN t USING (unit))
+  SELECT unit, n_matches, CAST(share AS DOUBLE) AS share, n_matches >= 1 AND share >= 0.5 AS usable FROM r""")
+def matched_shares(s, d):
+    units = table(s, d, "candidate_exports").filter("text is not null").select(F.col("candidate_key").alias("unit"), text.match_form(F.col("text")).alias("part"))
+    return diagnostics.matched_share(_item_matches(s, d), units)
+
+
+def _page_counts(s, d) -> DataFrame:
+    conditions = {"n_short": F.char_length("text") < 30, "n_long": F.char_length("text") > 500, "n_ranges": F.col("item_ranges_present")}
+    return diagnostics.page_counts(table(s, d, "candidate_exports"), "candidate_kind", conditions, *PAGE)
+
+
+_PAGE_COUNTS = """(SELECT document_id, page, count(*) AS n, count(*) FILTER (length(text) < 30) AS n_short, count(*) FILTER (length(text) > 500) AS n_long, count(*) FILTER (item_ranges_present) AS n_ranges FROM candidate_exports GROUP BY ALL)"""
+
+
+@query(f"""SELECT c.*, coalesce(m.kinds, '') AS kinds FROM {_PAGE_COUNTS} c LEFT JOIN (SELECT document_id, page, string_agg(k || '=' || n, ' ' ORDER BY k) AS kinds FROM (SELECT document_id, page, candidate_kind AS k, count(*) AS n FROM candidate_exports WHERE candidate_kind IS NOT NULL GROUP BY ALL) GROUP BY ALL) m USING (document_id, page)""")
+def page_lifecycle_counts(s, d):
+    return _page_counts(s, d).withColumn("kinds", files.counts_text(F.col("by_status"))).drop("by_status")
+
+
+@query("""SELECT document_id, string_agg(k || '=' || n, ' ' ORDER BY k) AS kinds FROM (SELECT document_id, candidate_kind AS k, count(*) AS n FROM candidate_exports WHERE candidate_kind IS NOT NULL GROUP BY ALL) GROUP BY 1""")
+def document_rollup(s, d):
+    """The pages' maps of counts added up by document."""
+    return diagnostics.merged_counts(_page_counts(s, d), "by_status", "document_id").select("document_id", files.counts_text(F.col("by_status")).alias("kinds"))
+
+
+@query(f"""SELECT document_id, page, "check" FROM (SELECT document_id, page, unnest([CASE WHEN NOT (n_short + n_long <= n) THEN 'lengths' END, CASE WHEN NOT (n_ranges <= n) THEN 'ranges' END]) AS "check" FROM {_PAGE_COUNTS}) WHERE "check" IS NOT NULL""")
+def broken_invariants(s, d):
+    """No row: the counts of a page agree with each other."""
+    checks = {"lengths": F.col("n_short") + F.col("n_long") <= F.col("n"), "ranges": F.col("n_ranges") <= F.col("n")}
+    return diagnostics.broken_invariants(_page_counts(s, d), checks).select(*PAGE, "check")
+
+
+@query("""WITH r AS (SELECT document_id, candidate_key, coalesce(candidate_kind = 'metadata', false) AS p, bool_or(coalesce(candidate_kind = 'metadata', false)) OVER (PARTITION BY document_id) AS some FROM candidate_exports),
+  k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY candidate_key) AS rank FROM r WHERE p OR NOT some) SELECT document_id, candidate_key, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= CASE WHEN some THEN 5 ELSE 2 END""".replace(" some", " has_some"))
+def quest_anchors(s, d):
+    """The first five metadata lines of each document, or its first two candidates."""
+    preferred = F.coalesce(F.col("candidate_kind") == "metadata", F.lit(False))
+    rows = table(s, d, "candidate_exports").select("document_id", "candidate_key", "candidate_kind")
+    return diagnostics.top_or_first(rows, preferred, "document_id", 5, 2, "candidate_key").select("document_id", "candidate_key", "rank")
+
+
+@query(f"""SELECT p.document_id, p.sentence_id, c.text, p.expected, p.predicted, CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' THEN 'bridge_as_delta' ELSE 'unknown' END AS cause
+  FROM {_PAIRS} p JOIN {_LAST_EXPORT} c USING (document_id, sentence_id) JOIN {_FIRST_LABEL} l USING (document_id, sentence_id) WHERE p.expected <> p.predicted""")
+def error_details(s, d):
+    """Wrongly predicted sentences with text and likely cause: labels, predictions and candidates joined on one key."""
+    pairs = _pairs(s, d)[0].filter("expected <> predicted")
+    rows = pairs.join(_last_exports(s, d).select(*SENT, "text", "tags"), SENT).join(_first_labels(s, d).select(*SENT, "reason"), SENT)
+    cause = diagnostics.likely_cause(F.col("reason"), F.col("expected") == "familiar", F.coalesce(F.array_contains("tags", "very_short"), F.lit(False)), F.col("expected"))
+    return rows.select(*SENT, "text", "expected", "predicted", cause.alias("cause"))
+
+
+@query("SELECT c.candidate_kind AS kind, CAST(count(*) AS BIGINT) AS n, count(DISTINCT c.document_id) AS n_documents FROM candidate_exports c WHERE EXISTS (SELECT 1 FROM text_chunks k WHERE k.document_id = c.document_id AND k.page = c.page) GROUP BY 1")
+def candidates_on_chunked_pages(s, d):
+    chunked = table(s, d, "text_chunks").select(*PAGE)
+    return table(s, d, "candidate_exports").join(chunked, PAGE, "left_semi").groupBy(F.col("candidate_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("n_documents"))
