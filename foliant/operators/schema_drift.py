@@ -183,18 +183,18 @@ SCRIPT_SCHEMA = "file_id long, op string, change_kind string, old_path string, n
 KINDS = {"retype": "retyped", "rename": "renamed", "move": "renamed", "delete": "removed", "add": "added"}
 
 
-def _script_of_pair(rows: pd.DataFrame) -> pd.DataFrame:
-    """All rows of one pair of files: its differing paths and the evidence; both bounded by schema width."""
-    old = {p: tuple(t) for p, t in zip(rows["path"], rows["old_types"]) if t is not None}
-    new = {p: tuple(t) for p, t in zip(rows["path"], rows["new_types"]) if t is not None}
-    pairs = {(p, q) for p, q in zip(rows["path"], rows["renamed_to"]) if isinstance(q, str)}
-    script = tree_script(old, new, pairs)
-    file_id = int(rows["file_id"].iloc[0])
+def _scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per pair of files in, with its differing paths and evidence (as many as the schemas are wide); its script out."""
+    names = [c.split()[0] for c in SCRIPT_SCHEMA.split(", ")]
     text = lambda t: ",".join(t) if t is not None else ""
-    return pd.DataFrame(
-        [(file_id, op, KINDS[op], a, b, text(old.get(a)), text(new.get(b)), cost, kept) for op, a, b, cost, kept in script],
-        columns=["file_id", "op", "change_kind", "old_path", "new_path", "old_types", "new_types", "cost", "chosen"],
-    )
+    for batch in batches:
+        rows = []
+        for file_id, facts in zip(batch["file_id"], batch["facts"]):
+            old = {f["path"]: tuple(f["old_types"]) for f in facts if f["old_types"] is not None}
+            new = {f["path"]: tuple(f["new_types"]) for f in facts if f["new_types"] is not None}
+            pairs = {(f["path"], f["renamed_to"]) for f in facts if f["renamed_to"] is not None}
+            rows += [(file_id, op, KINDS[op], a, b, text(old.get(a)), text(new.get(b)), cost, kept) for op, a, b, cost, kept in tree_script(old, new, pairs)]
+        yield pd.DataFrame(rows, columns=names)
 
 
 def _types(side: str) -> Column:
@@ -245,7 +245,8 @@ def edit_scripts(leaves: DataFrame, files: DataFrame) -> DataFrame:
     rows = diff.select("file_id", "path", "old_types", "new_types", F.lit(None).cast("string").alias("renamed_to")).unionByName(
         evidence.withColumns({"old_types": F.lit(None).cast("array<string>"), "new_types": F.lit(None).cast("array<string>")})
     )
-    return rows.groupBy("file_id").applyInPandas(_script_of_pair, SCRIPT_SCHEMA)
+    facts = F.collect_list(F.struct("path", "old_types", "new_types", "renamed_to")).alias("facts")
+    return rows.groupBy("file_id").agg(facts).mapInPandas(_scripts, SCRIPT_SCHEMA)
 
 
 def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
@@ -267,25 +268,29 @@ def snake(name: str) -> str:
     return "_".join(p for p in "".join(out).split("_") if p) or "field"
 
 
-def _lineages_of_series(rows: pd.DataFrame) -> pd.DataFrame:
-    """Follow the chosen renames through a series: each file's path -> the field's first name."""
-    rows = rows.sort_values(["file_no", "kind"], kind="stable")
-    first_name: dict[str, str] = {}
-    out = []
-    for (_, file_id), own in rows.groupby(["file_no", "file_id"], sort=True):
-        renames = {b: a for k, a, b in zip(own["kind"], own["old_path"], own["new_path"]) if k == "rename"}
-        present = [b for k, b in zip(own["kind"], own["new_path"]) if k == "present"]
-        known = dict(first_name)
-        for b, a in renames.items():
-            first_name[b] = known.get(a, snake(a))
-        used: set[str] = set()
-        for path in sorted(present):
-            field = first_name.setdefault(path, snake(path))
-            while field in used:
-                field += "_also"
-            used.add(field)
-            out.append((own["family"].iloc[0], file_id, path, field))
-    return pd.DataFrame(out, columns=["family", "file_id", "path", "field"])
+def _lineages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per series in; follows the chosen renames from file to file: each file's path -> the field's first name."""
+    for batch in batches:
+        out = []
+        for family, facts in zip(batch["family"], batch["facts"]):
+            files: dict[tuple[int, int], tuple[dict[str, str], list[str]]] = {}
+            for f in facts:
+                renames, present = files.setdefault((f["file_no"], f["file_id"]), ({}, []))
+                if f["kind"] == "rename":
+                    renames[f["new_path"]] = f["old_path"]
+                else:
+                    present.append(f["new_path"])
+            first_name: dict[str, str] = {}
+            for (_, file_id), (renames, present) in sorted(files.items()):
+                first_name |= {b: first_name.get(a, snake(a)) for b, a in renames.items()}
+                used: set[str] = set()
+                for path in sorted(present):
+                    field = first_name.setdefault(path, snake(path))
+                    while field in used:
+                        field += "_also"
+                    used.add(field)
+                    out.append((family, file_id, path, field))
+        yield pd.DataFrame(out, columns=["family", "file_id", "path", "field"])
 
 
 def projections(leaves: DataFrame, scripts: DataFrame, files: DataFrame) -> DataFrame:
@@ -296,7 +301,8 @@ def projections(leaves: DataFrame, scripts: DataFrame, files: DataFrame) -> Data
     order = ordered_files(files).select("file_id", "series", "family", "file_no")
     present = leaves.select("file_id", F.col("path").alias("new_path")).distinct().select("file_id", F.lit("present").alias("kind"), F.lit("").alias("old_path"), "new_path")
     renames = scripts.filter("chosen and op in ('rename', 'move')").select("file_id", F.lit("rename").alias("kind"), "old_path", "new_path")
-    return present.unionByName(renames).join(order, "file_id").groupBy("series").applyInPandas(_lineages_of_series, LINEAGE_SCHEMA)
+    facts = F.collect_list(F.struct("file_no", "file_id", "kind", "old_path", "new_path")).alias("facts")
+    return present.unionByName(renames).join(order, "file_id").groupBy("series").agg(F.first("family").alias("family"), facts).mapInPandas(_lineages, LINEAGE_SCHEMA)
 
 
 def consistent_table(records: DataFrame, files: DataFrame, family: str) -> DataFrame:
