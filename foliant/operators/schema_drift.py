@@ -16,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -255,21 +256,29 @@ def schema_changes(records: DataFrame, files: DataFrame) -> DataFrame:
     return edit_scripts(leaves, files)
 
 
-LINEAGE_SCHEMA = "family string, file_id long, path string, field string"
+LINEAGE_SCHEMA = "family string, file_id long, path string, field string, name string"
 
 
 def snake(name: str) -> str:
-    """A path in one spelling: camelCase, kebab-case and dotted names become snake_case."""
+    """A path in one spelling: camelCase, kebab-case and dotted names become snake_case, without an x_ in front or a version behind."""
     out = []
     for i, c in enumerate(name):
         if c.isupper() and i and (name[i - 1].islower() or name[i - 1].isdigit()):
             out.append("_")
         out.append(c.lower() if c.isalnum() else "_")
-    return "_".join(p for p in "".join(out).split("_") if p) or "field"
+    parts = [p for p in "".join(out).split("_") if p]
+    while len(parts) > 1 and parts[0] == "x":
+        parts = parts[1:]
+    while len(parts) > 1 and re.fullmatch("v[0-9]+", parts[-1]):
+        parts = parts[:-1]
+    return "_".join(parts) or "field"
 
 
 def _lineages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per series in; follows the chosen renames from file to file: each file's path -> the field's first name."""
+    """One row per series in; follows the chosen renames from file to file: each file's path -> the field's first name.
+
+    Fields whose names differ in underscores only are one field, unless a file has both.
+    """
     for batch in batches:
         out = []
         for family, facts in zip(batch["family"], batch["facts"]):
@@ -285,12 +294,12 @@ def _lineages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first_name |= {b: first_name.get(a, snake(a)) for b, a in renames.items()}
                 used: set[str] = set()
                 for path in sorted(present):
-                    field = first_name.setdefault(path, snake(path))
-                    while field in used:
-                        field += "_also"
-                    used.add(field)
-                    out.append((family, file_id, path, field))
-        yield pd.DataFrame(out, columns=["family", "file_id", "path", "field"])
+                    name = first_name.setdefault(path, snake(path))
+                    while name.replace("_", "") in used:
+                        name += "_also"
+                    used.add(name.replace("_", ""))
+                    out.append((family, file_id, path, name.replace("_", ""), name))
+        yield pd.DataFrame(out, columns=["family", "file_id", "path", "field", "name"])
 
 
 def projections(leaves: DataFrame, scripts: DataFrame, files: DataFrame) -> DataFrame:
@@ -316,13 +325,17 @@ def consistent_table(records: DataFrame, files: DataFrame, family: str) -> DataF
     files = files.filter(F.col("family") == family)
     leaves = materialize(leaf_values(records, files), "schema-leaves")
     mapping = projections(leaves, edit_scripts(leaves, files), files)
+    mapping = materialize(mapping, "schema-projections")
     named = materialize(leaves.join(mapping.select("file_id", "path", "field"), ["file_id", "path"]), "schema-fields")
     kinds = {r["field"]: set(r["types"]) for r in named.groupBy("field").agg(F.collect_set("type").alias("types")).collect()}
+    spelled = mapping.groupBy("field", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("field").agg(F.max(F.struct("n", "name")).alias("x"))
+    names = {r["field"]: r["name"] for r in spelled.select("field", "x.name").collect()}
     columns = []
-    for field, types in sorted(kinds.items()):
+    for field, types in sorted(kinds.items(), key=lambda k: names[k[0]]):
         picked = F.first(F.when(F.col("field") == field, F.col("value")), ignorenulls=True)
         cast = "bigint" if types == {"integer"} else "double" if types <= {"integer", "number"} else "boolean" if types == {"boolean"} else "string"
-        columns.append((picked if cast == "string" else picked.try_cast(cast)).alias(field if field not in ("record_id", "file_id", "line_no") else f"{field}_value"))
+        name = names[field]
+        columns.append((picked if cast == "string" else picked.try_cast(cast)).alias(name if name not in ("record_id", "file_id", "line_no") else f"{name}_value"))
     keys = named.groupBy("record_id", "file_id", "line_no")
     return keys.agg(*columns) if columns else keys.agg(F.count(F.lit(1)).alias("n")).drop("n")
 
