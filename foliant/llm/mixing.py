@@ -104,8 +104,9 @@ class Mixture:
         """For each source: what it holds, what it was to give and what it gives."""
         all_of = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("n_documents"))
         used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("n_chosen"))
-        total = used.agg(F.sum("mixed_tokens").alias("total"))
-        joined = all_of.join(self.plan.drop("cdf"), "source", "full").join(used, "source", "left").crossJoin(total)
+        used = materialize(used, "mix-used")
+        total = used.agg(F.sum("mixed_tokens").alias("total")).first()["total"]
+        joined = all_of.join(self.plan.drop("cdf"), "source", "full").join(used, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
         return joined.select(
             "source", zero("source_tokens"), zero("n_documents"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), zero("max_repeats"), F.coalesce("mean", F.lit(0.0)).alias("mean"),

@@ -89,11 +89,15 @@ class Packing:
         same = Window.partitionBy("doc_id").orderBy("n_tokens")
         sized = materialize(sized.withColumn("row_no", F.row_number().over(same)), "token-sizes")
         n = sized.count()
-        kinds = containers.select("container_kind", "capacity_tokens").filter("capacity_tokens is not null").distinct()
-        kinds = kinds.withColumn("capacity_tokens", F.when(F.col("capacity_tokens") >= 1, F.col("capacity_tokens")).otherwise(F.raise_error(F.lit("a capacity must be at least 1"))).cast("int"))
+        # the kinds of container are a short list of settings, whose length does not depend on the corpus
+        kinds = {(r["container_kind"], r["capacity_tokens"]) for r in containers.select("container_kind", "capacity_tokens").filter("capacity_tokens is not null").distinct().collect()}
+        if any(capacity < 1 for _, capacity in kinds):
+            raise ValueError("a capacity must be at least 1")
+        each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in sorted(kinds, key=str)])
+        if not kinds:
+            each = F.array().cast("array<struct<container_kind:string,capacity_tokens:int>>")
         parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / F.col("capacity_tokens")) - 1).cast("int")))
-        # pack_sizes is a list of kinds, whose size does not depend on the corpus
-        items = sized.crossJoin(kinds).select("*", parts.alias("part_no")).withColumns({
+        items = sized.select("*", F.inline(each)).select("*", parts.alias("part_no")).withColumns({
             "token_start": F.col("part_no").cast("bigint") * F.col("capacity_tokens"),
             "token_end": F.least((F.col("part_no").cast("bigint") + 1) * F.col("capacity_tokens"), F.col("n_tokens")),
         }).withColumn("n_tokens", F.col("token_end") - F.col("token_start"))

@@ -204,7 +204,7 @@ def _held(texts: DataFrame, places: DataFrame) -> DataFrame:
     maps = places.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "bucket")
+    likely = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "bucket")  # 256 rows of 4 KB
     likely = likely.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
     return likely.drop("bucket", "bits").join(places, "doc_id")
 
