@@ -20,20 +20,35 @@ def _exact(page: Column, part: Column) -> Column:
     return F.struct(at.cast("int").alias("start"), (at + F.char_length(part)).cast("int").alias("end"), F.size(meaningful_words(part)).alias("words"))
 
 
-def _size_step(page: Column, spoken: Column, size: int, found: Column) -> Column:
-    """Matches of one window size added to those found, in order, without overlaps."""
-    last = F.size(spoken) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(size // 2))).otherwise(F.array().cast("array<int>"))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; a lambda that mentions an expression computes it at each call."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def add(acc: Column, at: Column) -> Column:
-        phrase = F.array_join(F.slice(spoken, at + 1, size), " ")
-        s = (F.instr(page, phrase) - 1).cast("int")
-        e = (s + F.char_length(phrase)).cast("int")
-        clash = F.exists(acc, lambda m: (s < m["end"]) & (e > m["start"]))
-        new = F.array(F.struct(s.alias("start"), e.alias("end"), F.lit(size).alias("words")))
-        return F.when((s < 0) | clash, acc).otherwise(F.concat(acc, new))
 
-    return F.when(F.size(found) >= ENOUGH, found).otherwise(F.aggregate(starts, found, add))
+def _windows(page: Column, spoken: Column) -> Column:
+    """Every window of the spoken words, long sizes first, with its first place in the page; windows not found left out."""
+
+    def of_size(size: int) -> Column:
+        last = F.size(spoken) - size
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(size // 2))).otherwise(F.array().cast("array<int>"))
+        phrases = F.transform(starts, lambda at: F.array_join(F.slice(spoken, at + 1, size), " "))
+        return F.transform(phrases, lambda p: F.struct((F.instr(page, p) - 1).cast("int").alias("start"), F.char_length(p).alias("length"), F.lit(size).alias("words")))
+
+    return F.filter(F.concat(*[of_size(n) for n in WINDOW_SIZES]), lambda w: w["start"] >= 0)
+
+
+def _chosen(windows: Column) -> Column:
+    """Windows in order without overlaps; after a size with enough of them, shorter ones are not taken."""
+    seed = F.struct(F.array().cast(_MATCH).alias("found"), F.lit(0).alias("size"), F.lit(False).alias("full"))
+
+    def add(acc: Column, w: Column) -> Column:
+        end = w["start"] + w["length"]
+        full = acc["full"] | ((acc["size"] != w["words"]) & (F.size(acc["found"]) >= ENOUGH))
+        clash = F.exists(acc["found"], lambda m: (w["start"] < m["end"]) & (end > m["start"]))
+        new = F.array(F.struct(w["start"].alias("start"), end.alias("end"), w["words"].alias("words")))
+        return F.struct(F.when(full | clash, acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"), w["words"].alias("size"), full.alias("full"))
+
+    return F.aggregate(windows, seed, add, lambda acc: F.array_sort(acc["found"]))
 
 
 def phrase_matches(page_form: Column, part_form: Column) -> Column:
@@ -42,11 +57,8 @@ def phrase_matches(page_form: Column, part_form: Column) -> Column:
     array<struct<start, end, words>>, by start; empty if nothing is found.
     """
     none = F.array().cast(_MATCH)
-    spoken = meaningful_words(part_form)
-    found = none
-    for size in WINDOW_SIZES:
-        found = _size_step(page_form, spoken, size, found)
-    return F.when(part_form == "", none).when(F.contains(page_form, part_form), F.array(_exact(page_form, part_form)).cast(_MATCH)).otherwise(F.array_sort(found))
+    searched = _bound(meaningful_words(part_form), lambda spoken: _chosen(_windows(page_form, spoken)))
+    return F.when(part_form == "", none).when(F.contains(page_form, part_form), F.array(_exact(page_form, part_form)).cast(_MATCH)).otherwise(searched)
 
 
 def words_needed(confidence: Column, style: Column) -> Column:
@@ -56,13 +68,16 @@ def words_needed(confidence: Column, style: Column) -> Column:
 
 def best_window(page_form: Column, part_form: Column) -> Column:
     """The window of the page most alike a text by Dice of its words: struct<score, text>; the first of equals."""
-    p, a = words(page_form), words(part_form)
-    size = F.least(F.size(p), F.size(a))
-    starts = F.sequence(F.lit(0), F.size(p) - size)
-    scored = F.transform(starts, lambda s: F.struct(dice(a, F.slice(p, s + 1, size)).alias("score"), (-s).alias("back"), F.array_join(F.slice(p, s + 1, size), " ").alias("text")))
-    best = F.array_max(scored)
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("text"))
-    return F.when((size > 0) & (best["score"] > 0), F.struct(best["score"].alias("score"), best["text"].alias("text"))).otherwise(nothing)
+
+    def search(both: Column) -> Column:
+        p, a = both["p"], both["a"]
+        size = F.least(F.size(p), F.size(a))
+        scored = F.transform(F.sequence(F.lit(0), F.size(p) - size), lambda s: F.struct(dice(a, F.slice(p, s + 1, size)).alias("score"), (-s).alias("back")))
+        found = _bound(F.array_max(scored), lambda b: F.struct(b["score"].alias("score"), F.array_join(F.slice(p, 1 - b["back"], size), " ").alias("text")))
+        return F.when(size > 0, _bound(found, lambda f: F.when(f["score"] > 0, f).otherwise(nothing))).otherwise(nothing)
+
+    return _bound(F.struct(words(page_form).alias("p"), words(part_form).alias("a")), search)
 
 
 def resolve_ranges(ranges: DataFrame, items: DataFrame) -> DataFrame:
