@@ -9,8 +9,8 @@ packed together the same way in a second pass.
 
 Cases with a defined result: null and empty texts take no room and are not placed; an item larger
 than the capacity is cut into full containers and a rest, an item of exactly the capacity is not cut;
-rows with the same doc_id are items of their own; the same input gives the same containers whatever
-the partitioning; without documents, or without capacities, there is no container; capacities below
+rows with the same doc_id are items of their own; where doc_ids differ, the same input gives the same
+containers whatever the partitioning; without documents, or without capacities, there is no container; capacities below
 one are an error.
 """
 
@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import VOCABULARY, with_sizes
@@ -64,7 +64,7 @@ def best_fit(sizes: list[int], capacity: int, open_bins: int = OPEN_BINS) -> tup
     return place, left, {b for bins in by_room.values() for b in bins}
 
 
-PLACED = "container_kind string, capacity_tokens int, grp long, bin int, is_open boolean, room int, doc_id long, row_no int, part_no int, token_start long, token_end long, n_tokens long"
+PLACED = "container_kind string, capacity_tokens int, grp long, bin int, is_open boolean, room int, doc_id long, row_no long, part_no int, token_start long, token_end long, n_tokens long"
 
 
 def _pack_group(open_bins: int):
@@ -85,10 +85,11 @@ class Packing:
     """Where each text lies, for each kind of container."""
 
     def __init__(self, documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY, open_bins: int = OPEN_BINS, group_items: int = GROUP_ITEMS):
-        sized = with_sizes(documents, "doc_id", vocabulary=vocabulary)
-        same = Window.partitionBy("doc_id").orderBy("n_tokens")
-        sized = materialize(sized.withColumn("row_no", F.row_number().over(same)), "token-sizes")
+        sized = materialize(with_sizes(documents, "doc_id", vocabulary=vocabulary).withColumn("place", F.monotonically_increasing_id()), "token-sizes")
         n = sized.count()
+        # rows that share a doc_id are told apart by their place in the written table, so they spread over the groups
+        shared = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("shared"))
+        sized = sized.join(shared, "doc_id", "left").select("doc_id", "n_tokens", F.when(F.col("shared"), F.col("place") + 1).otherwise(F.lit(0)).alias("row_no"))
         # the kinds of container are a short list of settings, whose length does not depend on the corpus
         kinds = {(r["container_kind"], r["capacity_tokens"]) for r in containers.select("container_kind", "capacity_tokens").filter("capacity_tokens is not null").distinct().collect()}
         if any(capacity < 1 for _, capacity in kinds):
@@ -114,10 +115,10 @@ class Packing:
         again = F.xxhash64("container_kind", "grp", "bin")
         bins = ends.select(
             "container_kind", "capacity_tokens", F.pmod(again, F.lit(_groups(_groups(n, group_items) * open_bins, group_items))).alias("grp"), again.alias("ord"),
-            F.col("grp").alias("doc_id"), F.col("bin").alias("row_no"), F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("token_end"), "n_tokens",
+            F.col("grp").alias("doc_id"), F.col("bin").cast("bigint").alias("row_no"), F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("token_end"), "n_tokens",
         )
         merged = bins.groupBy("container_kind", "grp").applyInPandas(_pack_group(open_bins), PLACED)
-        moved = merged.select("container_kind", F.col("doc_id").alias("grp"), F.col("row_no").alias("bin"), F.lit(True).alias("is_open"), F.concat_ws("-", "container_kind", F.lit("end"), "grp", "bin").alias("new_id"), F.col("room").alias("new_room"))
+        moved = merged.select("container_kind", F.col("doc_id").alias("grp"), F.col("row_no").cast("int").alias("bin"), F.lit(True).alias("is_open"), F.concat_ws("-", "container_kind", F.lit("end"), "grp", "bin").alias("new_id"), F.col("room").alias("new_room"))
         joined = placed.join(moved, ["container_kind", "grp", "bin", "is_open"], "left")
         packed = joined.select(
             "container_kind", "capacity_tokens", F.coalesce("new_id", F.concat_ws("-", "container_kind", "grp", "bin")).alias("container_id"),
