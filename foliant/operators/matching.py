@@ -101,6 +101,26 @@ def resolve_ranges(ranges: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _inner_pairs(spoken: Column) -> Column:
+    """Each two neighbouring words."""
+    at = F.when(F.size(spoken) > 1, F.sequence(F.lit(1), F.size(spoken) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.element_at(spoken, i), F.element_at(spoken, i + 1))))
+
+
+def pages_holding(parts: DataFrame, pages: DataFrame) -> DataFrame:
+    """parts (document_id, part, ...) with the pages (document_id, other, whole) of their document that contain them.
+
+    A part of four words or more has two inner words that stand whole in any page holding it, so those
+    two are the join key; only shorter parts meet every page of their document.
+    """
+    spoken = words(F.col("part"))
+    marked = parts.withColumn("key", F.when(F.size(spoken) >= 4, F.xxhash64(F.element_at(spoken, 2), F.element_at(spoken, 3))))
+    keyed = pages.withColumn("key", F.explode(_bound(words(F.col("whole")), _inner_pairs)))
+    long = marked.filter("key is not null").join(keyed, ["document_id", "key"])
+    short = marked.filter("key is null").join(pages, "document_id")
+    return long.drop("key").unionByName(short.drop("key")).filter(F.contains("whole", "part"))
+
+
 def like_lines(units: DataFrame, items: DataFrame, least: float = 0.38, most: int = 6) -> DataFrame:
     """For each text the lines of its page that share most of its longer words: units (document_id, page, unit, form), items with form.
 

@@ -343,7 +343,7 @@ def page_mismatches(s, d):
     """Candidates whose text stands on another page of their document: the first such page."""
     c = table(s, d, "candidate_exports").filter("text is not null").select("candidate_key", "document_id", "page", text.match_form(F.col("text")).alias("part")).filter("part <> ''")
     p = _pages(s, d).filter("normalized_text is not null").select("document_id", F.col("page").alias("other"), text.match_form(F.col("normalized_text")).alias("whole"))
-    return c.join(p, "document_id").filter((F.col("page") != F.col("other")) & F.contains("whole", "part")).groupBy("candidate_key", "page").agg(F.min("other").alias("other_page"))
+    return matching.pages_holding(c, p).filter(F.col("page") != F.col("other")).groupBy("candidate_key", "page").agg(F.min("other").alias("other_page"))
 
 
 @query(f"""WITH f AS (SELECT candidate_key, document_id, page, regexp_replace(part, ' ', '', 'g') AS part, regexp_replace(whole, ' ', '', 'g') AS whole, contains(whole, part) AS exact FROM {_LOCATED})

@@ -145,3 +145,16 @@ def test_label_joins(spark):
     assert [r[1] for r in evaluation.unlabelled(c, labels, k).collect()] == ["s2"]
     assert [r[1] for r in evaluation.unknown(labels, c, k).collect()] == ["s9"]
     assert [(r[1], r["n"]) for r in evaluation.repeated(labels, k).collect()] == [("s1", 2)]
+
+
+def test_pages_holding_a_text_equal_a_plain_search(spark):
+    r = random.Random(11)
+    pages = [("d", n, " ".join(r.choice(["ab", "cd", "ef", "g"]) for _ in range(30))) for n in range(12)]
+    parts = []
+    for n in range(60):
+        whole = r.choice(pages)[2]
+        a = r.randrange(len(whole))
+        parts.append(("d", n, whole[a : a + r.randrange(1, 30)].strip()))
+    got = matching.pages_holding(spark.createDataFrame(parts, "document_id string, k int, part string"), spark.createDataFrame(pages, "document_id string, other int, whole string"))
+    want = sorted((k, n) for _, k, part in parts for _, n, whole in pages if part in whole)
+    assert sorted((x["k"], x["other"]) for x in got.collect()) == want
