@@ -126,4 +126,7 @@ def _cut_sql(kind: str, key: str, source: str, size: str, limit: int) -> str:
 ORACLE_SQL: dict[str, str] = {
     "p2_found": _cut_sql("chunk", "chunk_key", "text_chunks", "strlen", splitting.CHUNK_BYTES)
     + " UNION ALL " + _cut_sql("candidate", "candidate_key", "candidate_exports", "length", splitting.CANDIDATE_CHARS),
+    "p8_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+      h AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), k AS (SELECT w.* FROM w JOIN h USING (h))
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
