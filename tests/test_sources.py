@@ -1,7 +1,9 @@
 import hashlib
 import json
 
-from foliant.session import materialize, shared_dir
+import os
+
+from foliant.session import materialize, release, shared_dir
 from foliant.sources import files
 from foliant.streaming import text as st
 
@@ -49,6 +51,8 @@ def test_templates_sheets_and_json(spark, tmp_path):
 def test_materialized_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(5).toDF("x"), "t")
     assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder) and release(spark) >= 1 and not os.path.exists(folder)
 
 
 def test_sentence_stream_equals_batch(spark, data, tmp_path):
