@@ -14,13 +14,13 @@ ITEM = ["document_id", "page"]
 
 
 def delivered_items(items: DataFrame) -> DataFrame:
-    """Each item position once: the latest delivery."""
-    return latest(items, [*ITEM, "item_no"], F.col("ingested_at").desc_nulls_last(), F.col("item_key").desc())
+    """Each item position once: the latest delivery. Items come together by page, as all that follows needs them: one shuffle."""
+    return latest(items.repartition(*ITEM), [*ITEM, "item_no"], F.col("ingested_at").desc_nulls_last(), F.col("item_key").desc())
 
 
-def delivered_pages(pages: DataFrame) -> DataFrame:
-    """Each page once: the latest delivery."""
-    return latest(pages, ITEM, F.col("ingested_at").desc_nulls_last(), F.col("page_key").desc())
+def delivered_pages(pages: DataFrame, whole_documents: bool = False) -> DataFrame:
+    """Each page once: the latest delivery. ``whole_documents`` brings a document's pages together, for steps that run over them."""
+    return latest(pages.repartition("document_id") if whole_documents else pages, ITEM, F.col("ingested_at").desc_nulls_last(), F.col("page_key").desc())
 
 
 def placed_items(items: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
-    return pages.with_kinds(segments.sentences(_pages(s, d), "normalized_text", *PAGE))
+    whole = pages.delivered_pages(table(s, d, "text_pages"), whole_documents=True)
+    return pages.with_kinds(segments.sentences(whole, "normalized_text", *PAGE))
 
 
 _SENT = S.sentences(S.PAGES, "normalized_text", "document_id, page")
