@@ -112,3 +112,14 @@ def export_tags(text: Column, multi: Column) -> Column:
 
 def blank(value: Column) -> Column:
     return F.coalesce(trim(value) == "", F.lit(True))
+
+
+def is_valid(priority_name: Column, directive_name: Column, confidence: Column) -> Column:
+    """Known priority and directive, and a confidence that is a number from 0 to 1."""
+    known = priority_name.isin([p for p, *_ in PRIORITIES]) & directive_name.isin(list(set(DIRECTIVES.values())))
+    return F.coalesce(known & ~F.isnan(confidence) & confidence.between(0.0, 1.0), F.lit(False))
+
+
+def is_plain_name(name: Column) -> Column:
+    """Letters, digits, hyphens, underscores and dots, no dot in front."""
+    return F.coalesce(name.rlike("^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"), F.lit(False))

@@ -695,3 +695,59 @@ def error_details(s, d):
 def candidates_on_chunked_pages(s, d):
     chunked = table(s, d, "text_chunks").select(*PAGE)
     return table(s, d, "candidate_exports").join(chunked, PAGE, "left_semi").groupBy(F.col("candidate_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("n_documents"))
+
+
+# reviews
+
+
+@query(f"""SELECT cause, count(*) AS n FROM (SELECT CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' THEN 'bridge_as_delta' ELSE 'unknown' END AS cause
+  FROM {_PAIRS} p JOIN {_LAST_EXPORT} c USING (document_id, sentence_id) JOIN {_FIRST_LABEL} l USING (document_id, sentence_id) WHERE p.expected <> p.predicted) GROUP BY 1""")
+def error_causes(s, d):
+    return error_details(s, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT document_id, count(*) FILTER (p = 'delta') AS delta, count(*) FILTER (p = 'bridge') AS bridge, count(*) FILTER (p = 'familiar') AS familiar FROM (SELECT document_id, {_PRIORITY_SQL} AS p FROM {_FIRST_LABEL}) GROUP BY 1""")
+def priority_counts(s, d):
+    labels = _first_labels(s, d).withColumn("p", annotations.priority(F.col("expected_priority")))
+    return evaluation.zero_filled(labels, "p", ("delta", "bridge", "familiar"), "document_id")
+
+
+@query(f"""SELECT c.document_id, c.page, count(*) AS n_candidates, count(l.sentence_id) AS n_labelled, count(l.sentence_id) / CAST(count(*) AS DOUBLE) AS coverage FROM {_LAST_EXPORT} c LEFT JOIN (SELECT document_id, sentence_id FROM {_FIRST_LABEL}) l USING (document_id, sentence_id) GROUP BY ALL""")
+def label_coverage(s, d):
+    labels = _first_labels(s, d).select(*SENT, F.lit(1).alias("one"))
+    rows = _last_exports(s, d).select(*PAGE, "sentence_id").join(labels, SENT, "left").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_candidates"), F.count("one").alias("n_labelled"))
+    return rows.withColumn("coverage", measure.ratio_or_zero(F.col("n_labelled"), F.col("n_candidates")))
+
+
+@query(f"""WITH f AS (SELECT candidate_key, {S.policy_form('text')} AS t FROM candidate_exports WHERE text IS NOT NULL),
+  m AS (SELECT candidate_key, list_filter([{', '.join(f"CASE WHEN {_score_sql('t', S.policy_form(chr(39) + p + chr(39)), _policy_tokens)} >= 0.55 THEN '{p}' END" for p in KNOWN_PHRASES)}], lambda x: x IS NOT NULL) AS found FROM f)
+  SELECT candidate_key, array_to_string(found, '|') AS phrases FROM m WHERE len(found) > 0""")
+def matched_phrase_lists(s, d):
+    rows = table(s, d, "candidate_exports").filter("text is not null").select("candidate_key", text.policy_form(F.col("text")).alias("t"))
+    found = rows.select("candidate_key", text.matched_phrases(F.col("t"), KNOWN_PHRASES).alias("found")).filter(F.size("found") > 0)
+    return found.select("candidate_key", F.array_join("found", "|").alias("phrases"))
+
+
+@query(f"""SELECT label_key, p AS priority, CASE p WHEN 'delta' THEN 'highlight' WHEN 'bridge' THEN 'callout' WHEN 'familiar' THEN 'soft_fade' END AS directive, CAST(CASE p WHEN 'delta' THEN 0.74 WHEN 'bridge' THEN 0.55 WHEN 'familiar' THEN 0.68 END AS DOUBLE) AS confidence,
+  CASE p WHEN 'delta' THEN 'New insight' WHEN 'bridge' THEN 'Bridge context' WHEN 'familiar' THEN 'Likely familiar' END AS label FROM (SELECT label_key, {_PRIORITY_SQL} AS p FROM manual_labels) WHERE p IS NOT NULL""")
+def label_defaults(s, d):
+    p = F.col("priority")
+    rows = table(s, d, "manual_labels").select("label_key", annotations.priority(F.col("expected_priority")).alias("priority")).filter("priority is not null")
+    return rows.select("label_key", "priority", annotations.directive_of(p).alias("directive"), annotations.confidence_of(p).alias("confidence"), annotations.label_of(p).alias("label"))
+
+
+@query(f"""SELECT label_key, unnest(range(1, len(c) + 1)) AS claim_no, unnest(c) AS claim FROM (SELECT label_key, list_filter(list_transform(regexp_split_to_array(reason, '[\n.;]'), lambda x: {S.trim('x')}), lambda x: x <> '') AS c FROM manual_labels)""")
+def claims_of_reasons(s, d):
+    rows = table(s, d, "manual_labels").select("label_key", F.posexplode(text.split_claims(F.col("reason"))).alias("n", "claim"))
+    return rows.select("label_key", (F.col("n") + 1).cast("bigint").alias("claim_no"), "claim")
+
+
+@query("""SELECT fixture, regexp_full_match(fixture, '[A-Za-z0-9_-][A-Za-z0-9_.-]*') AS plain FROM fixture_thresholds""")
+def plain_fixture_names(s, d):
+    return table(s, d, "fixture_thresholds").select("fixture", annotations.is_plain_name(F.col("fixture")).alias("plain"))
+
+
+@query(f"""SELECT c.chunk_key, CASE WHEN c.page IS NULL THEN NULL ELSE c.page END AS page, p.page_key FROM text_chunks c LEFT JOIN {S.PAGES} p ON p.document_id = c.document_id AND p.page = c.page""")
+def chunk_pages(s, d):
+    """Each chunk with the page it lies on, if that was delivered."""
+    return table(s, d, "text_chunks").select("chunk_key", *PAGE).join(_pages(s, d).select(*PAGE, "page_key"), PAGE, "left").select("chunk_key", "page", "page_key")

@@ -153,3 +153,11 @@ def test_store(spark):
     assert [r["k"] for r in store.unexpired(at, "t", F.lit(datetime(2025, 1, 1, 12))).collect()] == [1]
     same = store.same_content(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "k int, t string"), "k", "t").collect()
     assert [(r["n"], r["first_key"]) for r in same] == [(2, 1)]
+
+
+def test_valid_annotations_and_plain_names(spark):
+    rows = [("delta", "highlight", 0.5), ("delta", "other", 0.5), ("delta", "highlight", float("nan")), ("x", "callout", 0.5), ("bridge", "callout", 1.1), ("bridge", "callout", None), ("familiar", "leave_normal", 1.0)]
+    df = spark.createDataFrame(rows, "p string, d string, c double")
+    assert [r[0] for r in df.select(annotations.is_valid(F.col("p"), F.col("d"), F.col("c"))).collect()] == [True, False, False, False, False, False, True]
+    names = spark.createDataFrame([("a-b_1",), (".a",), ("a/b",), ("",), (None,), ("a.b",)], "n string")
+    assert [r[0] for r in names.select(annotations.is_plain_name(F.col("n"))).collect()] == [True, False, False, False, False, True]
