@@ -208,7 +208,7 @@ def edit_scripts(leaves: DataFrame, files: DataFrame) -> DataFrame:
     ``leaves`` is read several times; pass a materialized table. Only per-file type sets and the
     values under changed paths are shuffled.
     """
-    order = ordered_files(files)
+    order = materialize(ordered_files(files), "file-order")
     later = order.filter("file_no > 1").select("file_id")
     chain = order.filter("next_file_id is not null").select("file_id", "next_file_id")
     present = leaves.groupBy("file_id", "path").agg(F.sort_array(F.collect_set("type")).alias("types"))
