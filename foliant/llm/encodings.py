@@ -289,12 +289,52 @@ class RunGains:
                 yield f"{x}>{y}", "".join(g + f for g, f in zip(_RUN.split(text), [*(raw.decode(y) for raw in raws), ""]))
 
 
-def wide_chains(text: str) -> Iterator[tuple[str, str]]:
+@functools.cache
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each single-byte X, by code point below 0x10000: its byte ("?" if none, 0xFF for an unused one), and whether X can write it."""
+    byte = np.full((len(SINGLE_BYTE), 1 << 16), 0x3F, dtype=np.uint8)
+    can = np.zeros((len(SINGLE_BYTE), 1 << 16), dtype=bool)
+    for i, x in enumerate(SINGLE_BYTE):
+        byte[i, :128], can[i, :128] = np.arange(128), True
+        for c, b in _to_latin(x).items():
+            lost = b == REPLACED
+            byte[i, c], can[i, c] = 0xFF if lost else b, not lost
+        byte[i, REPLACED] = 0xFF
+    return byte, can
+
+
+class Bytes:
+    """The texts' bytes in every single-byte code page, read from tables for all texts at once.
+
+    ``open[k, i]``: text k has as many beginnings of UTF-8 sequences under X as ``damaged_chains`` asks for.
+    """
+
+    def __init__(self, texts: list[str]):
+        points, self.offsets = flatten(texts)
+        low = np.where(points < 1 << 16, points, 0xFFFF)
+        byte, can = _byte_tables()
+        shape = len(texts), len(SINGLE_BYTE)
+        self.raw, self.can, self.open = [], np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        inside = np.ones(len(points), dtype=bool)  # a text's last point begins no pair
+        inside[self.offsets[1:][self.offsets[1:] > 0] - 1] = False
+        for i in range(len(SINGLE_BYTE)):
+            b = byte[i][low]
+            self.raw.append(b.tobytes())
+            self.can[:, i] = row_sums((~can[i][low]).astype(np.float64), self.offsets) == 0
+            pairs = _BEGINS[b] & inside
+            pairs[:-1] &= _GOES_ON[b[1:]]
+            self.open[:, i] = row_sums(pairs.astype(np.float64), self.offsets) * 3 >= row_sums((b > 127).astype(np.float64), self.offsets)
+
+    def of(self, k: int, i: int) -> bytes:
+        return self.raw[i][self.offsets[k] : self.offsets[k + 1]]
+
+
+def wide_chains(text: str, own: Bytes | None = None, k: int = 0) -> Iterator[tuple[str, str]]:
     """Chains to the multi-byte encodings, whose characters may take in ASCII bytes."""
+    own = Bytes([text]) if own is None else own
     tried = set()
-    may = _writers(text)
     for i, x in enumerate(SINGLE_BYTE + MULTI_BYTE):
-        raw = _raw(text, x) if may >> i & 1 else None
+        raw = (own.of(k, i) if own.can[k, i] else None) if i < len(SINGLE_BYTE) else _raw(text, x)
         if raw is None or raw in tried:
             continue
         tried.add(raw)
@@ -347,15 +387,25 @@ def mend(raw: bytes, x: str = "latin-1", space: int | None = None) -> bytes:
 
 _ASCII_OR_LOST = re.compile("[\x00-\x7f\ufffd]")
 _PAIR, _HIGH = re.compile(b"[\xc2-\xf4][\x80-\xbf 123ao]"), re.compile(b"[\x80-\xff]")
+_BEGINS, _GOES_ON = (np.array([re.fullmatch(p, bytes([b])) is not None for b in range(256)]) for p in (b"[\xc2-\xf4]", b"[\x80-\xbf 123ao]"))
+
 
+def damaged_chains(text: str, form: str | None = None, both: tuple[Bytes, Bytes] | None = None, k: int = 0) -> Iterator[tuple[str, str]]:
+    """Chains to UTF-8 for text that was changed after it was garbled; what stays unreadable is U+FFFD.
 
-def damaged_chains(text: str) -> Iterator[tuple[str, str]]:
-    """Chains to UTF-8 for text that was changed after it was garbled; what stays unreadable is U+FFFD."""
+    ``both`` has the bytes of its unfolded form and of the text itself at place ``k``.
+    """
+    form = _unfolded(text) if form is None else form
+    both = (Bytes([form]), Bytes([text])) if both is None else both
     seen, tried = {text}, set()
-    for form in dict.fromkeys((_unfolded(text), text)):
-        for x in SINGLE_BYTE + MULTI_BYTE:
-            raw = form.translate(_to_latin(x)).replace("\ufffd", "\xff").encode("latin-1", "replace") if x in SINGLE_BYTE else form.encode(x, "replace")
-            if raw in tried or len(_PAIR.findall(raw)) * 3 < len(_HIGH.findall(raw)):
+    for source, own in zip((form, text), both) if form != text else ((text, both[1]),):
+        for i, x in enumerate(SINGLE_BYTE + MULTI_BYTE):
+            if i < len(SINGLE_BYTE):
+                raw = own.of(k, i) if own.open[k, i] else None
+            else:
+                raw = source.encode(x, "replace")
+                raw = raw if len(_PAIR.findall(raw)) * 3 >= len(_HIGH.findall(raw)) else None
+            if raw is None or raw in tried:
                 continue
             tried.add(raw)
             for r in dict.fromkeys((raw, mend(raw, x), mend(raw, x, 0xA0), mend(raw, x, 0xAD))) if x in SINGLE_BYTE else (raw,):
@@ -367,7 +417,6 @@ def damaged_chains(text: str) -> Iterator[tuple[str, str]]:
                     if not got.isascii():
                         for name, deeper in utf8_chains(got, 2):
                             yield f"{x}>utf-8 in part {name}", deeper
-    form = _unfolded(text)
     if form != text and len(_RUN.findall(form)) and sum(map(len, _RUN.findall(form))) >= 4:
         for x in WRITTEN_SINGLE[:1] + ("latin-1",):
             raw = _raw(form, x)
@@ -414,8 +463,8 @@ def restore(texts: list[str], model: CharModel, gains: RunGains | None = None, r
     return best, path, garbled
 
 
-#: Mean ln P per character outside ASCII below which chains to other encodings, and damaged forms, are tried.
-DOUBTFUL, VERY_DOUBTFUL = -2.7, -4.5
+#: Forms that are scored at a time.
+AT_A_TIME = 20_000
 #: Chains that gain less than this on a text's runs by themselves are not scored on the whole text.
 RUN_LEAST = 0.3
 #: The lowest gain that counts for a run of one or two characters.
@@ -440,7 +489,7 @@ def _best_chains(texts: list[str], model: CharModel, gains: RunGains | None = No
     out: list[tuple[float, str, str]] = [(0.0, "", "")] * len(texts)
     if not texts:
         return out
-    mean, base, _ = doubt(texts, model)
+    _, base, _ = doubt(texts, model)
     owner: list[int] = []
     names: list[str] = []
     forms: list[str] = []
@@ -453,18 +502,26 @@ def _best_chains(texts: list[str], model: CharModel, gains: RunGains | None = No
 
     for k, text in enumerate(texts):
         add(k, utf8_chains(text))
-    low = {int(k): _keyed_runs(texts[k]) for k in np.flatnonzero(mean < DOUBTFUL)}
+    keyed = [_keyed_runs(t) for t in texts]
     runs = RunGains(model) if gains is None else gains
-    runs.learn({r for own in low.values() for r in own})
-    for k, own in low.items():
-        add(k, runs.chains(texts[k], own, RUN_LEAST))
-        if mean[k] < VERY_DOUBTFUL:
-            add(k, wide_chains(texts[k]))
+    runs.learn({r for own in keyed for r in own})
+    raw = Bytes(texts)
+    for k, text in enumerate(texts):
+        add(k, runs.chains(text, keyed[k], RUN_LEAST))
+        add(k, wide_chains(text, raw, k))
+        if len(forms) > AT_A_TIME:
+            _take(out, owner, names, forms, base, model)
+            owner, names, forms = [], [], []
     _take(out, owner, names, forms, base, model)
     owner, names, forms = [], [], []
-    for k in np.flatnonzero(mean < VERY_DOUBTFUL):
+    unfolded = [_unfolded(t) for t in texts]
+    both = Bytes(unfolded), raw
+    for k, text in enumerate(texts):
         if out[k][0] <= model.margin or not out[k][1].endswith(">utf-8"):
-            add(int(k), damaged_chains(texts[k]))
+            add(k, damaged_chains(text, unfolded[k], both, k))
+        if len(forms) > AT_A_TIME:
+            _take(out, owner, names, forms, base, model)
+            owner, names, forms = [], [], []
     _take(out, owner, names, forms, base, model)
     return out
 

@@ -38,6 +38,23 @@ def test_clean_text_in_unusual_form_is_left_alone(trained):
     assert not garbled.any()
 
 
+def test_a_likely_text_is_tried_too(trained):
+    """Signs that are common enough in the corpus, garbled rows among them, keep no chain from being tried."""
+    bad = "Latency of Febivoki fell by 67.75 Î1⁄4s â€“ well below the brittle passage."
+    best, path, _ = en.restore([bad], trained)
+    assert best == ["Latency of Febivoki fell by 67.75 μs – well below the brittle passage."] and "in part" in path[0]
+
+
+def test_bytes_of_all_texts_at_once():
+    texts = ["Ã©t Î1⁄4s é", "", "п п╟п╨", "�x", "plain", "𝄞é"]
+    own = en.Bytes(texts)
+    for k, text in enumerate(texts):
+        for i, x in enumerate(en.SINGLE_BYTE):
+            raw = text.translate(en._to_latin(x)).replace("\ufffd", "\xff").encode("latin-1", "replace")
+            assert own.of(k, i) == raw and own.can[k, i] == (en._raw(text, x) is not None)
+            assert own.open[k, i] == (len(en._PAIR.findall(raw)) * 3 >= len(en._HIGH.findall(raw)))
+
+
 def test_lost_characters_are_reported_without_a_guess(trained):
     best, _, garbled = en.restore(["El mod�le ou le d�p�t."], trained)
     assert garbled[0] and (best[0] is None or "�" in best[0])
