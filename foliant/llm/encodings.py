@@ -58,7 +58,7 @@ def _decode_table(codec: str) -> np.ndarray:
 
 
 def _ngram_keys(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of trigrams, bigrams and single characters ending at each point; and which points count.
+    """Buckets of trigrams, bigrams and single characters ending at each point; and which points are no marks in front.
 
     ``points`` has two marks before and one behind each text; digits count as one character.
     """
@@ -85,7 +85,7 @@ class CharModel:
 
     @classmethod
     def of(cls, counts: np.ndarray, margin: float = 3.0) -> CharModel:
-        return cls(Sparse(counts), float(counts[(1 << TRI_BITS) + (1 << BI_BITS) :].sum()), margin)
+        return cls(Sparse(counts), float(counts[: 1 << TRI_BITS].sum()), margin)  # the marks in front end no trigram
 
     @property
     def tri(self) -> np.ndarray:
@@ -99,27 +99,43 @@ class CharModel:
     def uni(self) -> np.ndarray:
         return self.counts.values[(1 << TRI_BITS) + (1 << BI_BITS) :]
 
-    def log_probs(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """ln P of each point given the two before it; 0 at the marks in front."""
+    def log_probs(self, points: np.ndarray, offsets: np.ndarray, less_one: bool = False) -> np.ndarray:
+        """ln P of each point given the two before it; 0 at the marks in front.
+
+        ``less_one``: n-grams with a character outside ASCII count once less, since the text may have been counted itself.
+        """
         if not len(points):
             return np.zeros(0)
         k3, k2, k1, real = _ngram_keys(points, offsets)
-        n1 = self.uni[k1].astype(np.float64)
+        n1, n2, n3 = self.uni[k1].astype(np.float64), self.bi[k2].astype(np.float64), self.tri[k3].astype(np.float64)
+        if less_one:
+            high = points > 127
+            n1 -= high
+            high2 = high.copy()
+            high2[1:] |= high[:-1]
+            n2 -= high2
+            high2[2:] |= high[:-2]
+            n3 -= high2
+            for n in (n1, n2, n3):
+                np.maximum(n, 0.0, out=n)
         prob = (n1 + 0.02) / (self.total + 0.02 * (1 << UNI_BITS))
-        before1 = np.concatenate([[1.0], self.uni[k1[:-1]]])
-        prob = (self.bi[k2] + 4.0 * prob) / (np.maximum(before1, self.bi[k2]) + 4.0)
-        before2 = np.concatenate([[1.0], self.bi[k2[:-1]]])
-        prob = (np.minimum(self.tri[k3], self.bi[k2]) + 4.0 * prob) / (np.maximum(before2, self.tri[k3]) + 4.0)
+        before1 = np.concatenate([[1.0], n1[:-1]])
+        prob = (n2 + 4.0 * prob) / (np.maximum(before1, n2) + 4.0)
+        before2 = np.concatenate([[1.0], n2[:-1]])
+        prob = (np.minimum(n3, n2) + 4.0 * prob) / (np.maximum(before2, n3) + 4.0)
         out = np.log(prob)
         out[~real] = 0.0
         return out
 
     def score(self, texts: list[str], whole: bool = True) -> np.ndarray:
-        """ln P of each text; of a part of a text, without its end, if not ``whole``."""
+        """ln P of each text; of a part of a text, without its end, if not ``whole``.
+
+        Texts and what chains make of them are compared with one count less, so that no record speaks for itself.
+        """
         if not texts:
             return np.zeros(0)
         points, offsets = flatten(texts, 2, 1 if whole else 0)
-        return row_sums(self.log_probs(points, offsets), offsets)
+        return row_sums(self.log_probs(points, offsets, less_one=True), offsets)
 
 
 @functools.cache
@@ -489,7 +505,7 @@ def _best_chains(texts: list[str], model: CharModel, gains: RunGains | None = No
     out: list[tuple[float, str, str]] = [(0.0, "", "")] * len(texts)
     if not texts:
         return out
-    _, base, _ = doubt(texts, model)
+    base = model.score(texts)
     owner: list[int] = []
     names: list[str] = []
     forms: list[str] = []
@@ -574,7 +590,9 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             points, offsets = flatten([t for t, k in zip(whole[part], keep) if k], 2, 1)
             if len(points):
                 k3, k2, k1, real = _ngram_keys(points, offsets)
-                tally.add(np.concatenate([k3[real], k2[real] + (1 << TRI_BITS), k1[real] + (1 << TRI_BITS) + (1 << BI_BITS)]))
+                context = real.copy()  # the second mark in front too, as what first characters follow
+                context[offsets[:-1] + 1] = True
+                tally.add(np.concatenate([k3[real], k2[context] + (1 << TRI_BITS), k1[context] + (1 << TRI_BITS) + (1 << BI_BITS)]))
     yield tally.frame()
 
 

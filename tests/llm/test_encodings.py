@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 
 from foliant.llm import encodings as en
@@ -45,6 +47,17 @@ def test_a_likely_text_is_tried_too(trained):
     assert best == ["Latency of Febivoki fell by 67.75 μs – well below the brittle passage."] and "in part" in path[0]
 
 
+def test_a_first_character_is_judged_among_first_characters():
+    """What a record itself adds to the counts does not keep its garbled first letter."""
+    clean = [f"Übersicht {w} {i}. Der Überblick zeigt {w}." for i in range(300) for w in ("Titel", "Absatz", "Verlauf")]
+    bad = ["Ьbersicht.", "Ьbersicht.", "†bersicht.", "†bersicht."]
+    counts = next(iter(en._count_batches(iter([pd.DataFrame({"text": clean + bad + ["Обзор и список."] * 40})]))))
+    table = np.zeros(en.SIZE, dtype=np.float32)
+    table[counts["key"]] = counts["n"]
+    best, _, garbled = en.restore(bad + clean[:3], en.CharModel.of(table))
+    assert best == ["Übersicht."] * 4 + [None] * 3 and garbled.tolist() == [True] * 4 + [False] * 3
+
+
 def test_bytes_of_all_texts_at_once():
     texts = ["Ã©t Î1⁄4s é", "", "п п╟п╨", "�x", "plain", "𝄞é"]
     own = en.Bytes(texts)
