@@ -3,7 +3,7 @@
 A character trigram model (Witten-Bell style interpolation down to single characters, in count tables
 of fixed size) is trained on the clean records of the corpus. Every chain "encode as X, decode as Y"
 that a string allows is scored; the likeliest is accepted if it beats the string as it stands by a
-margin set on held-out records garbled on purpose. Accepted strings are tried again, so text garbled
+margin set on held-out records, as they are and garbled on purpose. Accepted strings are tried again, so text garbled
 twice is undone twice.
 
 Cases with a defined result: null, empty and pure ASCII texts are clean; a text that holds U+FFFD is
@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -582,22 +583,25 @@ def _looks_clean(texts: list[str]) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tally = Tally(SIZE)
+    """N-grams of the records to train on; those of records held out (``held``, if there is such a column) follow at SIZE."""
+    tally = Tally(2 * SIZE)
     for batch in batches:
+        held = batch["held"].to_numpy(dtype=bool) if "held" in batch else np.zeros(len(batch), dtype=bool)
         whole = batch["text"].tolist()
-        for part in portions(whole):
-            keep = _looks_clean(whole[part])
-            points, offsets = flatten([t for t, k in zip(whole[part], keep) if k], 2, 1)
+        for part, out in ((p, h) for p in portions(whole) for h in (False, True)):
+            texts = [t for t, h in zip(whole[part], held[part]) if h == out]
+            keep = _looks_clean(texts)
+            points, offsets = flatten([t for t, k in zip(texts, keep) if k], 2, 1)
             if len(points):
                 k3, k2, k1, real = _ngram_keys(points, offsets)
                 context = real.copy()  # the second mark in front too, as what first characters follow
                 context[offsets[:-1] + 1] = True
-                tally.add(np.concatenate([k3[real], k2[context] + (1 << TRI_BITS), k1[context] + (1 << TRI_BITS) + (1 << BI_BITS)]))
+                tally.add(np.concatenate([k3[real], k2[context] + (1 << TRI_BITS), k1[context] + (1 << TRI_BITS) + (1 << BI_BITS)]) + out * SIZE)
     yield tally.frame()
 
 
-#: Lowest and highest margin, in ln P of a whole text.
-MARGIN_BOUNDS = (2.0, 4.0)
+#: Width and number of the steps in which gains are counted and margins considered, in ln P of a whole text.
+GAIN_STEP, GAIN_STEPS = 0.25, 48
 #: Chains used to garble held-out records when the margin is set.
 PROBES = (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "mac-roman"), ("koi8-r", "cp1251"), ("cp1251", "latin-1"), ("cp1253", "latin-1"), ("cp1256", "cp1252"), ("cp1252", "cp1251"))
 
@@ -612,28 +616,65 @@ def _probe(text: str, y: str, x: str) -> str | None:
     return None
 
 
-def set_margin(model: CharModel, held_out: list[str]) -> float:
-    """A share of what nearly all held-out records, garbled on purpose, gain when they are restored.
+CLEAN, GARBLED, HIDDEN, UNCLEAR = range(4)
+
+
+def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator[pd.DataFrame]:
+    """Held-out records by side and step of their gain: as they are if they look clean; garbled on purpose; of those,
+    the ones that look clean still; and how many do not look clean."""
+    tally = Tally(4 * GAIN_STEPS)
+    gains = RunGains(model)
+    for batch in batches:
+        whole = batch["text"].tolist()
+        for part in portions(whole):
+            keep = _looks_clean(whole[part])
+            clean = [t for t, k in zip(whole[part], keep) if k]
+            bad = [g for t in clean if (g := _probe(t, *PROBES[zlib.crc32(t.encode("utf-8", "surrogatepass")) % len(PROBES)])) and g != t]
+            for side, texts in ((CLEAN, clean), (GARBLED, bad)):
+                found = np.array([g for g, _, _ in _best_chains(texts, model, gains)])
+                step = np.clip(found / GAIN_STEP, 0, GAIN_STEPS - 1).astype(np.int64)
+                tally.add(side * GAIN_STEPS + step)
+                if side == GARBLED and texts:
+                    tally.add(HIDDEN * GAIN_STEPS + step[_looks_clean(texts)])
+            tally.add(np.full(int((~keep).sum()), UNCLEAR * GAIN_STEPS))
+    yield tally.frame()
+
+
+def best_margin(gains: np.ndarray, default: float) -> float:
+    """The margin that judges fewest held-out rows wrongly, false accepts and misses together; of equal ones the nearest to ``default``.
 
-    Clean records gain next to nothing, but some of the held-out ones are garbled already, so their
-    own gains would set the margin too high; they are not used. The margin stays within fixed bounds.
+    Some rows that look clean were garbled before. As many as gain the most are taken for such, and with them their share of
+    lower gains, as rows garbled on purpose that look clean have them. Misses are weighted by the number of garbled rows, for
+    which those that do not look clean stand.
+    """
+    clean, bad, hidden, unclear = gains.reshape(4, GAIN_STEPS)
+    if not clean.sum() or not bad.sum():
+        return default
+    sure = slice(GAIN_STEPS * 3 // 4, None)
+    garbled_before = hidden * clean[sure].sum() / hidden[sure].sum() if hidden[sure].any() else np.zeros(GAIN_STEPS)
+    left = (clean - garbled_before)[::-1].cumsum()[::-1]
+    accepted = np.maximum.accumulate(np.maximum(left, 0.0)[::-1])[::-1]  # gain at or over the step's lower bound
+    missed = np.concatenate([[0], bad.cumsum()[:-1]]) * max(1.0, unclear.sum()) / bad.sum()
+    wrong = accepted + missed
+    steps = np.arange(4, GAIN_STEPS)  # below a margin of 1 chance decides
+    best = steps[wrong[steps] <= wrong[steps].min() + 1e-9] * GAIN_STEP
+    return float(best[np.argmin(np.abs(best - default))])
+
+
+def fit(texts: DataFrame, held_out: int = 64) -> CharModel:
+    """Train on all clean records of ``texts`` (a column ``text``).
+
+    The margin is set by one text in ``held_out``, chosen by a hash, with a model that has not seen them; then they are counted too.
     """
-    clean = [t for t in held_out if not t.isascii()]
-    bad = [g for i, t in enumerate(clean) if (g := _probe(t, *PROBES[i % len(PROBES)])) and g != t]
-    if not bad:
-        return model.margin
-    gains = np.array([g for g, _, _ in _best_chains(bad, model)])
-    return float(np.clip(0.4 * np.percentile(gains, 2), *MARGIN_BOUNDS))
-
-
-def fit(texts: DataFrame, held_out: int = 2000) -> CharModel:
-    """Train on all clean records of ``texts`` (a column ``text``); the margin uses ``held_out`` of them at most."""
-    some = texts.select("text").filter("text is not null and text <> ''")
-    model = CharModel.of(gather(some.mapInPandas(_count_batches, COUNT_SCHEMA), SIZE))
-    rows = some.filter(F.col("text").rlike("[^\\x00-\\x7f]")).select("text").limit(held_out).toPandas()["text"].tolist()
-    if rows:
-        keep = _looks_clean(rows)
-        model.margin = set_margin(model, [t for t, k in zip(rows, keep) if k])
+    held = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
+    some = texts.select("text", held.alias("held")).filter("text is not null and text <> ''")
+    counts = gather(some.mapInPandas(_count_batches, COUNT_SCHEMA), 2 * SIZE)
+    model = CharModel.of(counts[:SIZE] + counts[SIZE:])
+    shared = texts.sparkSession.sparkContext.broadcast(CharModel.of(counts[:SIZE]))
+    rows = some.filter("held").select("text").filter(F.col("text").rlike("[^\\x00-\\x7f]"))
+    gains = gather(rows.mapInPandas(lambda it: _gain_batches(it, shared.value), COUNT_SCHEMA), 4 * GAIN_STEPS)
+    model.margin = best_margin(gains, model.margin)
+    shared.destroy()
     return model
 
 

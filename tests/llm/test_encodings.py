@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import encodings as en
 
@@ -58,6 +59,34 @@ def test_a_first_character_is_judged_among_first_characters():
     assert best == ["Übersicht."] * 4 + [None] * 3 and garbled.tolist() == [True] * 4 + [False] * 3
 
 
+def test_margin_weighs_false_accepts_and_misses():
+    gains = np.zeros((4, en.GAIN_STEPS))
+    gains[en.CLEAN, :22] = 50  # clean rows that gain up to 5.5
+    gains[en.GARBLED, 26:] = 10
+    gains[en.UNCLEAR, 0] = 100
+    assert 5.5 <= en.best_margin(gains.ravel(), 3.0) <= 6.5
+    gains[en.CLEAN, 4:] = 0
+    assert en.best_margin(gains.ravel(), 3.0) == 3.0
+    gains[en.GARBLED, 6:] = 40  # and weak gains of garbled rows
+    assert 1.0 <= en.best_margin(gains.ravel(), 3.0) <= 1.5
+    gains[en.GARBLED] = gains[en.HIDDEN] = gains[en.CLEAN] = np.where(np.arange(en.GAIN_STEPS) >= 10, 5, 0)
+    assert en.best_margin(gains.ravel(), 3.0) <= 3.0  # all that looks clean and gains was garbled before
+    assert en.best_margin(np.zeros(4 * en.GAIN_STEPS), 3.0) == 3.0
+
+
+def test_margin_does_not_depend_on_the_order_of_rows(spark, data):
+    items = spark.read.parquet(f"{data}/text_items.parquet").select(F.col("str").alias("text"))
+    down, up = (en.fit(items.orderBy(order), held_out=4) for order in (F.desc("text"), F.asc("text")))
+    assert down.margin == up.margin and np.array_equal(down.counts.values, up.counts.values)
+
+
+def test_held_out_rows_are_counted_apart():
+    rows = pd.DataFrame({"text": ["Überblick", "Größe"], "held": [False, True]})
+    keys = next(iter(en._count_batches(iter([rows]))))["key"].to_numpy()
+    alone = next(iter(en._count_batches(iter([rows[:1]]))))["key"].to_numpy()
+    assert np.array_equal(keys[keys < en.SIZE], alone) and (keys >= en.SIZE).any()
+
+
 def test_bytes_of_all_texts_at_once():
     texts = ["Ã©t Î1⁄4s é", "", "п п╟п╨", "�x", "plain", "𝄞é"]
     own = en.Bytes(texts)
