@@ -1,10 +1,10 @@
 """Garbled text from a wrong character encoding: find it and restore the original.
 
-A character trigram model (Witten-Bell style interpolation down to single characters, in count tables
-of fixed size) is trained on the clean records of the corpus. Every chain "encode as X, decode as Y"
-that a string allows is scored; the likeliest is accepted if it beats the string as it stands by a
-margin set on held-out records, as they are and garbled on purpose. Accepted strings are tried again, so text garbled
-twice is undone twice.
+A character trigram model (Witten-Bell style interpolation down to single characters) is trained on
+the clean records of the corpus. Every chain "encode as X, decode as Y" that a string, or a stretch of
+it, allows is scored; the likeliest is accepted if it beats the string as it stands by a margin set on
+held-out records, as they are and garbled on purpose. Accepted strings are tried again, so text garbled
+twice is undone twice, and one garbled differently in two places in both.
 
 Cases with a defined result: null, empty and pure ASCII texts are clean; a text that holds U+FFFD is
 garbled even if no chain helps (``restored`` is then null); repeated rows get the same result each;
@@ -18,15 +18,15 @@ import functools
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.codepoints import COUNT_SCHEMA, Sparse, Tally, bucket, flatten, gather, mix, portions, row_sums
+from foliant.llm.codepoints import COUNT_SCHEMA, KEYED_SCHEMA, KeyTally, Lookup, Tally, flatten, gather, gather_keys, keyed, portions, row_sums
 
 # Code pages a text may have been read in by mistake (X) or written in (Y). Bytes
 # without a character in a Windows code page stand for the control character of the same number.
@@ -35,15 +35,16 @@ SINGLE_BYTE = (
     "koi8-r", "koi8-u", "mac-roman", "mac-cyrillic", "mac-greek", "iso8859-2", "iso8859-5", "iso8859-6", "iso8859-7", "iso8859-15", "cp874",
 )
 MULTI_BYTE = ("cp932", "gb18030", "big5", "euc_jp", "cp949")
-WRITTEN_SINGLE = ("cp1252", "cp1251", "koi8-r", "cp866", "cp1253", "cp1256", "cp1250", "cp874", "iso8859-5", "iso8859-6", "mac-cyrillic", "mac-roman", "cp437", "cp850")
+WRITTEN_SINGLE = (
+    "cp1252", "cp1251", "koi8-r", "cp866", "cp1253", "cp1256", "cp1250", "cp874", "iso8859-5", "iso8859-6", "mac-cyrillic", "mac-roman", "cp437", "cp850",
+    "iso8859-2", "iso8859-7", "cp1254", "cp1255", "cp1257", "cp852", "koi8-u", "mac-greek", "iso8859-15",
+)
 WRITTEN_MULTI = ("cp932", "euc_jp", "gb18030", "big5", "cp949")
-# Pairs of code pages of one script without case, between which the letters of invented names are as likely as not.
-ONE_SCRIPT = {("cp1256", "iso8859-6"), ("iso8859-6", "cp1256")}
 # What compatibility normalisation makes of characters that stand for single bytes.
 UNFOLD = ((" ̃", "˜"), ("1⁄4", "¼"), ("1⁄2", "½"), ("3⁄4", "¾"), (" ̧", "¸"), (" ̈", "¨"), (" ́", "´"), (" ̄", "¯"), ("μ", "µ"), ("...", "…"), ("TM", "™"))
 
-TRI_BITS, BI_BITS, UNI_BITS = 21, 18, 16
-SIZE = (1 << TRI_BITS) + (1 << BI_BITS) + (1 << UNI_BITS)
+#: Single characters between which the probability of one never seen is divided.
+CHARACTERS = 1 << 16
 REPLACED = 0xFFFD
 
 
@@ -59,7 +60,7 @@ def _decode_table(codec: str) -> np.ndarray:
 
 
 def _ngram_keys(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of trigrams, bigrams and single characters ending at each point; and which points are no marks in front.
+    """Keys of trigrams, bigrams and single characters ending at each point; and which points are no marks in front.
 
     ``points`` has two marks before and one behind each text; digits count as one character.
     """
@@ -70,35 +71,17 @@ def _ngram_keys(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts = offsets[:-1]
     real[starts] = False
     real[starts + 1] = False
-    one = mix(p)
-    two = mix(p1, p)
-    three = mix(p2, p1, p)
-    return bucket(three, TRI_BITS), bucket(two, BI_BITS), bucket(one, UNI_BITS), real
+    return keyed(3, p2, p1, p), keyed(2, p1, p), keyed(1, p), real
 
 
-@dataclass
 class CharModel:
-    """Interpolated character trigram model; the tables have a fixed size."""
-
-    counts: Sparse
-    total: float
-    margin: float = 3.0
-
-    @classmethod
-    def of(cls, counts: np.ndarray, margin: float = 3.0) -> CharModel:
-        return cls(Sparse(counts), float(counts[: 1 << TRI_BITS].sum()), margin)  # the marks in front end no trigram
-
-    @property
-    def tri(self) -> np.ndarray:
-        return self.counts.values[: 1 << TRI_BITS]
+    """Interpolated character trigram model over exact counts."""
 
-    @property
-    def bi(self) -> np.ndarray:
-        return self.counts.values[1 << TRI_BITS : (1 << TRI_BITS) + (1 << BI_BITS)]
-
-    @property
-    def uni(self) -> np.ndarray:
-        return self.counts.values[(1 << TRI_BITS) + (1 << BI_BITS) :]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, margin: float = 3.0, beyond: float = -9.0):
+        self.counts, self.margin, self.beyond = Lookup(keys, counts), margin, beyond
+        single = (keys & np.uint64(3)) == 1
+        marks = self.counts.of(keyed(1, np.array([2], dtype=np.uint32)))[0]  # those in front follow nothing
+        self.total = float(counts[single].sum()) - marks
 
     def log_probs(self, points: np.ndarray, offsets: np.ndarray, less_one: bool = False) -> np.ndarray:
         """ln P of each point given the two before it; 0 at the marks in front.
@@ -108,7 +91,7 @@ class CharModel:
         if not len(points):
             return np.zeros(0)
         k3, k2, k1, real = _ngram_keys(points, offsets)
-        n1, n2, n3 = self.uni[k1].astype(np.float64), self.bi[k2].astype(np.float64), self.tri[k3].astype(np.float64)
+        n1, n2, n3 = self.counts.of(k1), self.counts.of(k2), self.counts.of(k3)
         if less_one:
             high = points > 127
             n1 -= high
@@ -119,15 +102,26 @@ class CharModel:
             n3 -= high2
             for n in (n1, n2, n3):
                 np.maximum(n, 0.0, out=n)
-        prob = (n1 + 0.02) / (self.total + 0.02 * (1 << UNI_BITS))
+        prob = (n1 + 0.02) / (self.total + 0.02 * CHARACTERS)
         before1 = np.concatenate([[1.0], n1[:-1]])
         prob = (n2 + 4.0 * prob) / (np.maximum(before1, n2) + 4.0)
         before2 = np.concatenate([[1.0], n2[:-1]])
-        prob = (np.minimum(n3, n2) + 4.0 * prob) / (np.maximum(before2, n3) + 4.0)
+        prob = (n3 + 4.0 * prob) / (np.maximum(before2, n3) + 4.0)
         out = np.log(prob)
         out[~real] = 0.0
         return out
 
+    def bounds(self) -> np.ndarray:
+        """By code point below 0x10000: ln of the greatest probability that the character can have behind any two others."""
+        n = self.counts.of(keyed(1, np.arange(1 << 16, dtype=np.uint32)))
+        n[0x31:0x3A] = n[0x30]
+        prob = (n + 0.02) / (self.total + 0.02 * CHARACTERS)
+        for _ in range(2):
+            prob = (n + 4.0 * prob) / (n + 4.0)
+        out = np.log(prob)
+        out[0xFFFF] = 0.0  # stands for all beyond
+        return out
+
     def score(self, texts: list[str], whole: bool = True) -> np.ndarray:
         """ln P of each text; of a part of a text, without its end, if not ``whole``.
 
@@ -224,143 +218,251 @@ def utf8_chains(text: str, depth: int = 3) -> Iterator[tuple[str, str]]:
         forms.append(form)
     gaps = _RUN.split(text)
     names = SINGLE_BYTE + MULTI_BYTE
-    seen = set()
+    deeper: dict[str, list[tuple[str, str]]] = {}
     for i in common or ():
         got = "".join(g + f for g, f in zip(gaps, [*(form[i] for form in forms), ""]))
-        if got not in seen:
-            seen.add(got)
-            yield f"{names[i]}>utf-8", got
-            if depth > 1 and not got.isascii():
-                for name, deeper in utf8_chains(got, depth - 1):
-                    yield f"{names[i]}>utf-8 {name}", deeper
+        yield f"{names[i]}>utf-8", got
+        if depth > 1 and not got.isascii() and got not in deeper:
+            deeper[got] = list(utf8_chains(got, depth - 1))
+            for name, again in deeper[got]:
+                yield f"{names[i]}>utf-8 {name}", again
 
 
-def _keyed_runs(text: str) -> list[tuple[str, str, str]]:
-    """The runs of characters outside ASCII; a short one with the characters beside it."""
+#: A window: runs of characters outside ASCII with at most one ASCII character, no line end, between them.
+_WINDOW = re.compile("[^\x00-\x7f]+(?:[\x00-\x09\x0b-\x7f][^\x00-\x7f]+)*")
+#: Full stops written without a space behind them, where a window may end.
+_STOPS = re.compile("(?<=[。！？｡])(?=.)", re.DOTALL)
+#: ASCII characters in front of a window and behind it that it is judged with.
+BEFORE, BEHIND = 2, 2
+
+
+def windows(text: str) -> list[tuple[int, int, int, int]]:
+    """The text's windows: where each begins and ends, and where what it is judged with begins and ends.
+
+    A model of three characters sees no further than from one window to the next, so what a chain gains on a text is the sum
+    of its gains on the windows. Those of spaces and invisible marks alone are left out.
+    """
     out = []
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if b - a > 2:
-            out.append((" ", m.group(), " "))
-        else:  # behind a capital also what stands before it, which tells how words begin
-            left = text[max(0, a - 2) : a] if text[a - 1 : a].isupper() else text[a - 1 : a]
-            out.append((left.rjust(1) if a > 1 or not left else left.rjust(2), m.group(), text[b : b + 1] or " "))
+    for m in _WINDOW.finditer(text):
+        a = m.start()
+        for stop in (*(k.start() for k in _STOPS.finditer(m.group())), len(m.group())):
+            b = m.start() + stop
+            if _SPEAKING.search(text, a, b):
+                left, right = max(0, a - BEFORE), min(len(text), b + BEHIND)
+                while left < a and not text[left:a].isascii():
+                    left += 1
+                while right > b and not text[b:right].isascii():
+                    right -= 1
+                out.append((a, b, left, right))
+            a = b
     return out
 
 
-class RunGains:
-    """What each chain between single-byte code pages gains on a run of characters, remembered by run.
+class _Bits:
+    """By code point below 0x10000, bits for the codecs X: it can write the character; there is a beginning of a UTF-8 sequence
+    and its continuation within the character's bytes; its last byte begins one; its first one goes on with one; it has one byte,
+    or two, outside ASCII."""
+
+    def __init__(self) -> None:
+        self.known = np.zeros(1 << 16, dtype=bool)
+        self.can, self.inner, self.ends, self.starts, self.high, self.high2 = (np.zeros(1 << 16, dtype=np.uint32) for _ in range(6))
+
+    def learn(self, low: np.ndarray) -> None:
+        seen = np.zeros(1 << 16, dtype=bool)
+        seen[low] = True
+        for c in np.flatnonzero(seen & ~self.known):
+            char = chr(c)
+            for i, x in enumerate(SINGLE_BYTE + MULTI_BYTE):
+                raw = _raw(char, x) if c != REPLACED else None
+                if raw is not None:
+                    bit = np.uint32(1 << i)
+                    self.can[c] |= bit
+                    for table, holds in (
+                        (self.inner, any(_BEGINS[b] and _GOES_ON[d] for b, d in zip(raw, raw[1:]))), (self.ends, _BEGINS[raw[-1]]), (self.starts, _GOES_ON[raw[0]]),
+                        (self.high, raw[0] > 127), (self.high2, len(raw) > 1 and raw[1] > 127),
+                    ):
+                        if holds:
+                            table[c] |= bit
+            self.known[c] = True
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the texts, none of them empty: the codecs that can write it, and those under which enough UTF-8 sequences
+        begin and go on (a third of its bytes outside ASCII begin one, a quarter for multi-byte codecs)."""
+        points, offsets = flatten(texts)
+        low = np.where(points < 1 << 16, points, 0xFFFF)
+        self.learn(low)
+        pair = self.inner[low]
+        follows = self.starts[low[1:]].copy()
+        follows[offsets[1:-1] - 1] = 0  # a text's last character is followed by none
+        pair[:-1] |= self.ends[low[:-1]] & follows
+        at = np.flatnonzero(points > 127)
+        start = np.searchsorted(at, offsets)
+        pair, high, high2 = pair[at], self.high[low[at]], self.high2[low[at]]
+        opens = np.zeros(len(texts), dtype=np.uint32)
+        for i in range(len(SINGLE_BYTE + MULTI_BYTE)):
+            ones = lambda bits: row_sums((bits >> np.uint32(i)) & np.uint32(1), start)  # noqa: E731, B023
+            pairs = ones(pair)
+            if pairs.any():
+                enough = (pairs > 0) & (pairs * (3 if i < len(SINGLE_BYTE) else 4) >= ones(high) + ones(high2))
+                opens |= enough.astype(np.uint32) << np.uint32(i)
+        return np.bitwise_and.reduceat(self.can[low], offsets[:-1]), opens
+
+
+_bits = _Bits()
+#: Windows whose results are kept by one task, and the least gain of a chain that is kept: a window on which the chain
+#: loses more is taken for one that does not belong to the chain's stretch.
+KEPT_WINDOWS, FLOOR = 60_000, -8.0
+#: The least that counts for a window that is valid UTF-8.
+LEAST_VALID = -2.0
+#: What it costs to begin or end a chain's stretch inside a text.
+SWITCH = 4.0
+
 
-    A text's gain is close to the sum over its runs, so chains that cannot win are dropped before a
-    whole text is scored.
+@functools.cache
+def _strict_table(codec: str) -> np.ndarray:
+    """Code point of each byte; -1 if the codec knows none."""
+    out = np.full(256, -1, dtype=np.int64)
+    for b in range(256):
+        try:
+            out[b] = ord(bytes([b]).decode(codec))
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+class Gains:
+    """What each chain gains on a window, remembered by window.
+
+    A form is scored unless even the greatest probability that its characters have anywhere leaves it below FLOOR.
     """
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.known: dict[tuple[str, str, str], tuple[list[bytes | None], dict[bytes, np.ndarray], float]] = {}
-
-    def learn(self, runs: set[tuple[str, str, str]]) -> None:
-        if len(self.known) > KEPT_RUNS:
+        self.known: dict[str, tuple[float, dict[str, tuple[float, str]], bool]] = {}
+        self.most = model.bounds()
+        self.most_of_byte = {}
+        for y in WRITTEN_SINGLE:
+            table = _strict_table(y)
+            self.most_of_byte[y] = np.where(table < 0, -1e9, self.most[table])
+
+    def learn(self, some: list[str]) -> None:
+        if len(self.known) > KEPT_WINDOWS:
             self.known.clear()
-        new = [r for r in runs if r not in self.known]
-        forms, slots, found = ["".join(r) for r in new], [], []
-        for left, run, right in new:
-            may = _writers(run) & ~_WIDE_ONLY
-            raws = [_raw(run, x) if may >> i & 1 else None for i, x in enumerate(SINGLE_BYTE)]
-            gains = {raw: np.full(len(WRITTEN_SINGLE), -np.inf) for raw in raws if raw is not None}
-            found.append((raws, gains))
-            for raw, row in gains.items():
-                for j, y in enumerate(WRITTEN_SINGLE):
+        new = [w for w in dict.fromkeys(some) if w not in self.known]
+        for part in portions(new, 1 << 16):
+            self._learn(new[part])
+
+    def _learn(self, new: list[str]) -> None:
+        base = self.model.score(new)
+        writers, pairs = _bits.of(new)
+        raws: list[bytes] = []
+        owner: list[int] = []
+        codecs: list[list[str]] = []  # that write the same bytes
+        for k, (window, can) in enumerate(zip(new, writers.tolist())):
+            tried: dict[bytes, list[str]] = {}
+            while can:
+                x = (SINGLE_BYTE + MULTI_BYTE)[(can & -can).bit_length() - 1]
+                can &= can - 1
+                raw = _raw(window, x)
+                if raw is not None:
+                    tried.setdefault(raw, []).append(x)
+            raws += tried
+            owner += [k] * len(tried)
+            codecs += tried.values()
+        forms: dict[tuple[int, str], list[str]] = defaultdict(list)
+        for k, window in enumerate(new):
+            for name, got in utf8_chains(window, 1):
+                forms[k, got].append(name)
+        least = base + FLOOR
+        self._single(raws, owner, codecs, least, forms)
+        self._wide(raws, owner, codecs, least, forms)
+        for k in np.flatnonzero(pairs):
+            for name, got in damaged_forms(new[k], int(pairs[k])):
+                forms[int(k), got].append(name)
+        results: list[dict[str, tuple[float, str]]] = [{} for _ in new]
+        keys = list(forms)
+        for start in range(0, len(keys), AT_A_TIME):
+            some = keys[start : start + AT_A_TIME]
+            for (k, got), score in zip(some, self.model.score([got for _, got in some])):
+                gain = float(score - base[k])
+                if forms[k, got][0].endswith(">utf-8"):  # that it is valid UTF-8 speaks for it, even if its characters are rare
+                    gain = max(gain, LEAST_VALID)
+                if gain > FLOOR:
+                    for name in forms[k, got]:
+                        if name not in results[k] or gain > results[k][name][0]:
+                            results[k][name] = gain, got
+        for window, result in zip(new, results):
+            self.known[window] = max((g for g, _ in result.values()), default=0.0), result, any(g > 0 and ">utf-8" in name for name, (g, _) in result.items())
+
+    def _single(self, raws: list[bytes], owner: list[int], codecs: list[list[str]], least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
+        if not raws:
+            return
+        joined = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+        enough = least[owner]
+        enough[[xs[0] in MULTI_BYTE for xs in codecs]] = np.inf
+        for y, most in self.most_of_byte.items():
+            for r in np.flatnonzero(row_sums(most[joined], offsets) > enough):
+                if y not in codecs[r]:
+                    forms[owner[r], raws[r].decode(y)] += [f"{x}>{y}" for x in codecs[r] if x in SINGLE_BYTE]
+
+    def _wide(self, raws: list[bytes], owner: list[int], codecs: list[list[str]], least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
+        """Chains to the multi-byte encodings, whose characters may take in ASCII bytes."""
+        found: list[tuple[int, str, list[str]]] = []
+        for raw, k, xs in zip(raws, owner, codecs):
+            for y in WRITTEN_MULTI:
+                if y not in xs:
                     try:
-                        forms.append(f"{left}{raw.decode(y)}{right}")
-                        slots.append((row, j))
+                        found.append((k, raw.decode(y), [f"{x}>{y}" for x in xs]))
                     except UnicodeDecodeError:
                         pass
-        scores = self.model.score(forms, whole=False)
-        for (row, j), score in zip(slots, scores[len(new) :]):
-            row[j] = score
-        for key, base, (raws, gains) in zip(new, scores, found):
-            best = -np.inf
-            for row in gains.values():
-                row -= base
-                if len(key[1]) <= 2:  # a lone character speaks for a chain, but hardly against it
-                    row[np.isfinite(row)] = np.maximum(row[np.isfinite(row)], LEAST_OF_ONE)
-                best = max(best, row.max())
-            self.known[key] = raws, gains, best
-
-    def chains(self, text: str, runs: list[tuple[str, str, str]], least: float) -> Iterator[tuple[str, str]]:
-        own = [self.known[r] for r in runs]
-        if sum(best for _, _, best in own) <= least:
+        if found:
+            points, offsets = flatten([got for _, got, _ in found])
+            most = row_sums(self.most[np.where(points < 1 << 16, points, 0xFFFF)], offsets)
+            for r in np.flatnonzero(most > least[[k for k, _, _ in found]]):
+                k, got, names = found[r]
+                forms[k, got] += names
+
+    def best(self, text: str, own: list[tuple[int, int, int, int]], enough: float) -> Iterator[tuple[float, str, str]]:
+        """Chains that gain more than ``enough`` on the text or on stretches of it: gain, name and result."""
+        judged = [text[left:right] for _, _, left, right in own]
+        results = [self.known[w] for w in judged]
+        if sum(r[0] for r in results if r[0] > 0) <= enough:
             return
-        tried = set()
-        for i, x in enumerate(SINGLE_BYTE):
-            raws = tuple(r[i] for r, _, _ in own)
-            if raws in tried or None in raws:
+        seen = set()
+        for name in dict.fromkeys(n for _, r, _ in results for n, (g, _) in r.items() if g > 0):
+            forms = tuple(r.get(name) for _, r, _ in results)
+            if forms in seen:
                 continue
-            tried.add(raws)
-            gain = sum(g[raw] for (_, g, _), raw in zip(own, raws))
-            for j in np.flatnonzero(gain > least):
-                y = WRITTEN_SINGLE[j]
-                if (x, y) in ONE_SCRIPT:
-                    continue
-                yield f"{x}>{y}", "".join(g + f for g, f in zip(_RUN.split(text), [*(raw.decode(y) for raw in raws), ""]))
-
-
-@functools.cache
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each single-byte X, by code point below 0x10000: its byte ("?" if none, 0xFF for an unused one), and whether X can write it."""
-    byte = np.full((len(SINGLE_BYTE), 1 << 16), 0x3F, dtype=np.uint8)
-    can = np.zeros((len(SINGLE_BYTE), 1 << 16), dtype=bool)
-    for i, x in enumerate(SINGLE_BYTE):
-        byte[i, :128], can[i, :128] = np.arange(128), True
-        for c, b in _to_latin(x).items():
-            lost = b == REPLACED
-            byte[i, c], can[i, c] = 0xFF if lost else b, not lost
-        byte[i, REPLACED] = 0xFF
-    return byte, can
-
-
-class Bytes:
-    """The texts' bytes in every single-byte code page, read from tables for all texts at once.
-
-    ``open[k, i]``: text k has as many beginnings of UTF-8 sequences under X as ``damaged_chains`` asks for.
-    """
-
-    def __init__(self, texts: list[str]):
-        points, self.offsets = flatten(texts)
-        low = np.where(points < 1 << 16, points, 0xFFFF)
-        byte, can = _byte_tables()
-        shape = len(texts), len(SINGLE_BYTE)
-        self.raw, self.can, self.open = [], np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
-        inside = np.ones(len(points), dtype=bool)  # a text's last point begins no pair
-        inside[self.offsets[1:][self.offsets[1:] > 0] - 1] = False
-        for i in range(len(SINGLE_BYTE)):
-            b = byte[i][low]
-            self.raw.append(b.tobytes())
-            self.can[:, i] = row_sums((~can[i][low]).astype(np.float64), self.offsets) == 0
-            pairs = _BEGINS[b] & inside
-            pairs[:-1] &= _GOES_ON[b[1:]]
-            self.open[:, i] = row_sums(pairs.astype(np.float64), self.offsets) * 3 >= row_sums((b > 127).astype(np.float64), self.offsets)
-
-    def of(self, k: int, i: int) -> bytes:
-        return self.raw[i][self.offsets[k] : self.offsets[k + 1]]
-
-
-def wide_chains(text: str, own: Bytes | None = None, k: int = 0) -> Iterator[tuple[str, str]]:
-    """Chains to the multi-byte encodings, whose characters may take in ASCII bytes."""
-    own = Bytes([text]) if own is None else own
-    tried = set()
-    for i, x in enumerate(SINGLE_BYTE + MULTI_BYTE):
-        raw = (own.of(k, i) if own.can[k, i] else None) if i < len(SINGLE_BYTE) else _raw(text, x)
-        if raw is None or raw in tried:
-            continue
-        tried.add(raw)
-        for y in WRITTEN_MULTI:
-            if y != x:
-                try:
-                    yield f"{x}>{y}", raw.decode(y)
-                except UnicodeDecodeError:
-                    pass
+            seen.add(forms)
+            gain, inside = _stretches([f and f[0] for f in forms])
+            changed = sum(b - a for (a, b, _, _), w, f, use in zip(own, judged, forms, inside) if use and f[1] != w)
+            if gain > enough and (all(inside) or changed > 1):  # one character alone is no stretch
+                out, at = [], 0
+                for (_, _, left, right), form, use in zip(own, forms, inside):
+                    if not use:
+                        continue
+                    got = form[1]
+                    out += [text[at:left], got[max(0, at - left) :]]  # two windows may be judged with the same characters between them
+                    at = right
+                yield gain, name if all(inside) else f"{name} of a part", "".join(out) + text[at:]
+
+
+def _stretches(gains: list[float | None]) -> tuple[float, list[bool]]:
+    """The likeliest stretches of windows for a chain that gains so much on each (None: it cannot be applied there): the sum and the windows inside."""
+    out, chain = 0.0, -np.inf
+    back: list[tuple[bool, bool]] = []
+    for i, gain in enumerate(gains):
+        into, stay = out - (SWITCH if i else 0.0), chain
+        leave = chain - SWITCH
+        back.append((leave > out, stay >= into))
+        out, chain = max(out, leave), (max(into, stay) + gain if gain is not None else -np.inf)
+    state, inside = chain >= out, []
+    total = max(out, chain)
+    for leave, stay in reversed(back):
+        inside.append(state)
+        state = stay if state else leave
+    return total, inside[::-1]
 
 
 @functools.cache
@@ -402,46 +504,69 @@ def mend(raw: bytes, x: str = "latin-1", space: int | None = None) -> bytes:
     return bytes(out)
 
 
+_LOST = re.compile("\ufffd+")
+#: A beginning of a UTF-8 sequence that isn't gone on with.
+_BROKEN = re.compile(b"[\xc2-\xf4](?![\x80-\xbf])|[\xe0-\xf4][\x80-\xbf](?![\x80-\xbf])|[\xf0-\xf4][\x80-\xbf]{2}(?![\x80-\xbf])")
 _ASCII_OR_LOST = re.compile("[\x00-\x7f\ufffd]")
-_PAIR, _HIGH = re.compile(b"[\xc2-\xf4][\x80-\xbf 123ao]"), re.compile(b"[\x80-\xff]")
 _BEGINS, _GOES_ON = (np.array([re.fullmatch(p, bytes([b])) is not None for b in range(256)]) for p in (b"[\xc2-\xf4]", b"[\x80-\xbf 123ao]"))
 
 
-def damaged_chains(text: str, form: str | None = None, both: tuple[Bytes, Bytes] | None = None, k: int = 0) -> Iterator[tuple[str, str]]:
-    """Chains to UTF-8 for text that was changed after it was garbled; what stays unreadable is U+FFFD.
+def damaged_forms(text: str, codecs: int) -> Iterator[tuple[str, str]]:
+    """What may be left of UTF-8 that was changed after it was garbled; what stays unreadable is U+FFFD.
 
-    ``both`` has the bytes of its unfolded form and of the text itself at place ``k``.
+    ``codecs`` are those under which enough UTF-8 sequences begin, as bits.
     """
-    form = _unfolded(text) if form is None else form
-    both = (Bytes([form]), Bytes([text])) if both is None else both
-    seen, tried = {text}, set()
-    for source, own in zip((form, text), both) if form != text else ((text, both[1]),):
-        for i, x in enumerate(SINGLE_BYTE + MULTI_BYTE):
-            if i < len(SINGLE_BYTE):
-                raw = own.of(k, i) if own.open[k, i] else None
-            else:
-                raw = source.encode(x, "replace")
-                raw = raw if len(_PAIR.findall(raw)) * 3 >= len(_HIGH.findall(raw)) else None
-            if raw is None or raw in tried:
-                continue
-            tried.add(raw)
-            for r in dict.fromkeys((raw, mend(raw, x), mend(raw, x, 0xA0), mend(raw, x, 0xAD))) if x in SINGLE_BYTE else (raw,):
-                got = r.decode("utf-8", "replace")
-                lost = got.count("\ufffd")
-                if got not in seen and lost * 4 <= len(got) and lost < len(got) - len(_ASCII_OR_LOST.findall(got)):
-                    seen.add(got)
-                    yield f"{x}>utf-8 in part", got
-                    if not got.isascii():
-                        for name, deeper in utf8_chains(got, 2):
-                            yield f"{x}>utf-8 in part {name}", deeper
-    if form != text and len(_RUN.findall(form)) and sum(map(len, _RUN.findall(form))) >= 4:
-        for x in WRITTEN_SINGLE[:1] + ("latin-1",):
-            raw = _raw(form, x)
-            for y in WRITTEN_SINGLE + WRITTEN_MULTI if raw else ():
-                got = raw.decode(y, "replace")
-                if got not in seen and got.count("\ufffd") * 4 <= len(got):
-                    seen.add(got)
-                    yield f"{x}>{y} in part", got
+    while codecs:
+        i = (codecs & -codecs).bit_length() - 1
+        codecs &= codecs - 1
+        x = (SINGLE_BYTE + MULTI_BYTE)[i]
+        seen = {text}
+        if i < len(SINGLE_BYTE):
+            raw = text.translate(_lossy(x)).encode("latin-1", "replace")
+            raws = dict.fromkeys((raw, mend(raw, x), mend(raw, x, 0xA0), mend(raw, x, 0xAD)) if _BROKEN.search(raw) else (raw,))
+        else:
+            raws = {b"\xff".join(part.encode(x, "replace") for part in text.split("\ufffd")): None}
+        for raw in raws:
+            got = _LOST.sub("\ufffd", raw.decode("utf-8", "replace"))
+            lost = got.count("\ufffd")
+            if got not in seen and lost * 4 <= len(got) and lost < len(got) - len(_ASCII_OR_LOST.findall(got)):
+                seen.add(got)
+                yield f"{x}>utf-8 in part", got
+
+
+@functools.cache
+def _lossy(x: str) -> dict[int, int]:
+    """As ``_to_latin``, but characters that are lost have the byte 0xFF."""
+    return {c: 0xFF if b == REPLACED else b for c, b in _to_latin(x).items()} | {REPLACED: 0xFF}
+
+
+def _mend_pairs(raw: bytes, x: str) -> bytes:
+    """Text of two-byte characters with some second bytes folded to ASCII: put them back."""
+    out, due, folded = bytearray(), False, _folded_bytes(x)
+    for b in raw:
+        out.append(folded.get(b, b) if due and b != 0x20 else b)
+        due = not due and b >= 0xA1
+    return bytes(out)
+
+
+def altered_forms(text: str, form: str) -> Iterator[tuple[str, str]]:
+    """Chains to single-byte and multi-byte encodings for text that was compatibility-normalised after it was garbled; ``form`` is its unfolded form."""
+    seen = {text}
+    for x in ("cp1252", "latin-1"):
+        raw = _raw(form, x)
+        if raw is None:
+            continue
+        for y in WRITTEN_SINGLE + WRITTEN_MULTI if form != text else ():
+            got = raw.decode(y, "replace")
+            if got not in seen and got.count("\ufffd") * 4 <= len(got):
+                seen.add(got)
+                yield f"{x}>{y} in part", got
+        mended = _mend_pairs(raw, x)
+        for y in ("euc_jp", "gb18030", "cp949") if mended != raw else ():
+            got = mended.decode(y, "replace")
+            if got not in seen and got.count("\ufffd") * 4 <= len(got):
+                seen.add(got)
+                yield f"{x}>{y} in part", got
 
 
 def _unfolded(text: str) -> str:
@@ -450,7 +575,7 @@ def _unfolded(text: str) -> str:
     return text
 
 
-def restore(texts: list[str], model: CharModel, gains: RunGains | None = None, rounds: int = 3) -> tuple[list[str | None], list[str], np.ndarray]:
+def restore(texts: list[str], model: CharModel, gains: Gains | None = None, rounds: int = 6) -> tuple[list[str | None], list[str], np.ndarray]:
     """For each text its restored form (None: leave it), the chains applied and whether it is garbled."""
     n = len(texts)
     best: list[str | None] = [None] * n
@@ -462,9 +587,9 @@ def restore(texts: list[str], model: CharModel, gains: RunGains | None = None, r
     garbled |= np.fromiter((control.search(t) is not None for t in texts), bool, n)
     if not model.total:  # nothing was learned: no text is likelier than another
         return best, path, garbled
-    if texts:
-        mean, _, foreign = doubt(texts, model)
-        garbled |= (mean < BEYOND) & (foreign >= 5) & np.fromiter((_SPEAKING.search(t) is not None for t in texts), bool, n)
+    mean, foreign = doubt(texts, model)
+    garbled |= (mean < model.beyond) & (foreign >= SOME) & np.fromiter((_SPEAKING.search(t) is not None for t in texts), bool, n)
+    gains = Gains(model) if gains is None else gains
     live = [i for i in range(n) if _SPEAKING.search(texts[i])]
     current = dict(zip(live, (texts[i] for i in live)))
     for _ in range(rounds):
@@ -482,31 +607,60 @@ def restore(texts: list[str], model: CharModel, gains: RunGains | None = None, r
 
 #: Forms that are scored at a time.
 AT_A_TIME = 20_000
-#: Chains that gain less than this on a text's runs by themselves are not scored on the whole text.
-RUN_LEAST = 0.3
-#: The lowest gain that counts for a run of one or two characters.
-LEAST_OF_ONE = -2.0
+#: Chains that gain less than this on a text are not considered.
+LEAST = 0.3
 
 
-#: Below this, at five or more characters outside ASCII, a text is garbled even if no chain restores it.
-BEYOND = -9.0
+#: Characters outside ASCII from which on a text is garbled, even if no chain restores it, where their mean ln P is below the model's ``beyond``.
+SOME = 5
 
 
-def doubt(texts: list[str], model: CharModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean ln P of each text's characters outside ASCII, ln P of the whole text, number of such characters."""
+def doubt(texts: list[str], model: CharModel) -> tuple[np.ndarray, np.ndarray]:
+    """Mean ln P of each text's characters outside ASCII, and their number."""
     points, offsets = flatten(texts, 2, 1)
-    logs = model.log_probs(points, offsets)
     high = points > 127
     foreign = row_sums(high.astype(np.float64), offsets)
-    return row_sums(np.where(high, logs, 0.0), offsets) / np.maximum(1, foreign), row_sums(logs, offsets), foreign
+    return row_sums(np.where(high, model.log_probs(points, offsets), 0.0), offsets) / np.maximum(1, foreign), foreign
 
 
-def _best_chains(texts: list[str], model: CharModel, gains: RunGains | None = None) -> list[tuple[float, str, str]]:
-    """The likeliest chain of each text: its gain over the text itself, its name and its result."""
+def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None) -> list[tuple[float, str, str]]:
+    """The likeliest chain of each text, or of stretches of it: its gain over the text itself, its name and its result."""
     out: list[tuple[float, str, str]] = [(0.0, "", "")] * len(texts)
     if not texts:
         return out
-    base = model.score(texts)
+    gains = Gains(model) if gains is None else gains
+    cut = [windows(t) for t in texts]
+    judged = [[t[left:right] for _, _, left, right in own] for t, own in zip(texts, cut)]
+    perhaps = [False] * len(texts)
+    size = start = 0
+    for k, own in enumerate(judged):  # a portion's windows are looked up before others can take their place
+        size += len(own)
+        if size < KEPT_WINDOWS and k + 1 < len(texts):
+            continue
+        gains.learn([w for some in judged[start : k + 1] for w in some])
+        for j in range(start, k + 1):
+            for found in gains.best(texts[j], cut[j], LEAST):
+                if found[0] > out[j][0] + 1e-6:
+                    out[j] = found
+            perhaps[j] = any(gains.known[w][2] for w in judged[j])
+        start, size = k + 1, 0
+    _try_altered(texts, out, perhaps, model)
+    return out
+
+
+def _try_altered(texts: list[str], out: list[tuple[float, str, str]], perhaps: list[bool], model: CharModel) -> None:
+    """Forms of whole texts that were changed after they were garbled: of those that change when compatibility normalisation is
+    undone, have a window that gains by a chain to UTF-8 (``perhaps``), or are written outside ASCII for the most part; where no strict UTF-8 chain was accepted."""
+    rest, unfolded = [], []
+    for k, text in enumerate(texts):
+        if text and not (out[k][0] > model.margin and out[k][1].endswith(">utf-8")):
+            form = _unfolded(text)
+            if perhaps[k] or form != text or 2 * sum(map(len, _RUN.findall(form))) >= len(form):
+                rest.append(k)
+                unfolded.append(form)
+    if not rest:
+        return
+    changed = [j for j, k in enumerate(rest) if unfolded[j] != texts[k]]
     owner: list[int] = []
     names: list[str] = []
     forms: list[str] = []
@@ -517,36 +671,22 @@ def _best_chains(texts: list[str], model: CharModel, gains: RunGains | None = No
             names.append(name)
             forms.append(got)
 
-    for k, text in enumerate(texts):
-        add(k, utf8_chains(text))
-    keyed = [_keyed_runs(t) for t in texts]
-    runs = RunGains(model) if gains is None else gains
-    runs.learn({r for own in keyed for r in own})
-    raw = Bytes(texts)
-    for k, text in enumerate(texts):
-        add(k, runs.chains(text, keyed[k], RUN_LEAST))
-        add(k, wide_chains(text, raw, k))
-        if len(forms) > AT_A_TIME:
-            _take(out, owner, names, forms, base, model)
-            owner, names, forms = [], [], []
-    _take(out, owner, names, forms, base, model)
-    owner, names, forms = [], [], []
-    unfolded = [_unfolded(t) for t in texts]
-    both = Bytes(unfolded), raw
-    for k, text in enumerate(texts):
-        if out[k][0] <= model.margin or not out[k][1].endswith(">utf-8"):
-            add(k, damaged_chains(text, unfolded[k], both, k))
-        if len(forms) > AT_A_TIME:
-            _take(out, owner, names, forms, base, model)
-            owner, names, forms = [], [], []
-    _take(out, owner, names, forms, base, model)
-    return out
-
-
-def _take(out: list, owner: list[int], names: list[str], forms: list[str], base: np.ndarray, model: CharModel) -> None:
-    for k, name, got, score in zip(owner, names, forms, model.score(forms)):
-        if score - base[k] > out[k][0]:
-            out[k] = (score - base[k], name, got)
+    if changed:
+        pairs = _bits.of([unfolded[j] for j in changed])[1]
+        for j, codecs in zip(changed, pairs.tolist()):
+            add(rest[j], damaged_forms(unfolded[j], codecs))
+    pairs = _bits.of([texts[k] for k in rest])[1]
+    for k, form, codecs in zip(rest, unfolded, pairs.tolist()):
+        if perhaps[k]:
+            add(k, damaged_forms(texts[k], codecs))
+        if max(map(len, _RUN.findall(form)), default=0) >= 2 and 2 * sum(map(len, _RUN.findall(form))) >= len(form):
+            add(k, altered_forms(texts[k], form))
+    base: dict[int, float] = dict(zip(rest, model.score([texts[k] for k in rest])))
+    for start in range(0, len(forms), AT_A_TIME):
+        part = slice(start, start + AT_A_TIME)
+        for k, name, got, score in zip(owner[part], names[part], forms[part], model.score(forms[part])):
+            if score - base[k] > out[k][0] + 1e-6:
+                out[k] = float(score - base[k]), name, got
 
 
 @functools.cache
@@ -583,8 +723,8 @@ def _looks_clean(texts: list[str]) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """N-grams of the records to train on; those of records held out (``held``, if there is such a column) follow at SIZE."""
-    tally = Tally(2 * SIZE)
+    """N-grams of the records to train on; those of records held out (``held``, if there is such a column) are counted apart."""
+    tally = KeyTally()
     for batch in batches:
         held = batch["held"].to_numpy(dtype=bool) if "held" in batch else np.zeros(len(batch), dtype=bool)
         whole = batch["text"].tolist()
@@ -596,7 +736,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 k3, k2, k1, real = _ngram_keys(points, offsets)
                 context = real.copy()  # the second mark in front too, as what first characters follow
                 context[offsets[:-1] + 1] = True
-                tally.add(np.concatenate([k3[real], k2[context] + (1 << TRI_BITS), k1[context] + (1 << TRI_BITS) + (1 << BI_BITS)]) + out * SIZE)
+                tally.add(np.concatenate([k3[real], k2[context], k1[context]]), int(out))
     yield tally.frame()
 
 
@@ -616,14 +756,16 @@ def _probe(text: str, y: str, x: str) -> str | None:
     return None
 
 
-CLEAN, GARBLED, HIDDEN, UNCLEAR = range(4)
+CLEAN, GARBLED, HIDDEN, UNCLEAR, MEANS = range(5)
+#: The share of clean held-out rows without a likelier form that may lie below ``beyond``.
+FEW = 0.001
 
 
 def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator[pd.DataFrame]:
     """Held-out records by side and step of their gain: as they are if they look clean; garbled on purpose; of those,
     the ones that look clean still; and how many do not look clean."""
-    tally = Tally(4 * GAIN_STEPS)
-    gains = RunGains(model)
+    tally = Tally((4 + 2) * GAIN_STEPS)
+    gains = Gains(model)
     for batch in batches:
         whole = batch["text"].tolist()
         for part in portions(whole):
@@ -634,6 +776,10 @@ def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator
                 found = np.array([g for g, _, _ in _best_chains(texts, model, gains)])
                 step = np.clip(found / GAIN_STEP, 0, GAIN_STEPS - 1).astype(np.int64)
                 tally.add(side * GAIN_STEPS + step)
+                if side == CLEAN and texts:
+                    mean, foreign = doubt(texts, model)
+                    mean = mean[(foreign >= SOME) & (found <= LEAST)]
+                    tally.add(MEANS * GAIN_STEPS + np.clip(-mean / GAIN_STEP, 0, 2 * GAIN_STEPS - 1).astype(np.int64))
                 if side == GARBLED and texts:
                     tally.add(HIDDEN * GAIN_STEPS + step[_looks_clean(texts)])
             tally.add(np.full(int((~keep).sum()), UNCLEAR * GAIN_STEPS))
@@ -661,19 +807,29 @@ def best_margin(gains: np.ndarray, default: float) -> float:
     return float(best[np.argmin(np.abs(best - default))])
 
 
+def best_beyond(means: np.ndarray, default: float) -> float:
+    """The greatest mean ln P, ``default`` at the most, below which no more than a FEW of the clean held-out rows lie."""
+    below = means[::-1].cumsum()[::-1]  # rows whose mean is at most minus the step's lower bound
+    fits = np.flatnonzero(below <= FEW * means.sum())
+    return min(default, -float(fits[0]) * GAIN_STEP) if len(fits) else -2.0 * GAIN_STEPS * GAIN_STEP
+
+
 def fit(texts: DataFrame, held_out: int = 64) -> CharModel:
     """Train on all clean records of ``texts`` (a column ``text``).
 
-    The margin is set by one text in ``held_out``, chosen by a hash, with a model that has not seen them; then they are counted too.
+    The margin, and how unlikely a text must be to be garbled without a likelier form, are set by one text in ``held_out``, chosen
+    by a hash, with a model that has not seen them; then they are counted too.
     """
     held = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
     some = texts.select("text", held.alias("held")).filter("text is not null and text <> ''")
-    counts = gather(some.mapInPandas(_count_batches, COUNT_SCHEMA), 2 * SIZE)
-    model = CharModel.of(counts[:SIZE] + counts[SIZE:])
-    shared = texts.sparkSession.sparkContext.broadcast(CharModel.of(counts[:SIZE]))
+    counts = gather_keys(some.mapInPandas(_count_batches, KEYED_SCHEMA))
+    keys, n, held_n = counts["key"].to_numpy(dtype=np.int64).view(np.uint64), counts["n"].to_numpy(dtype=np.int64), counts["held"].to_numpy(dtype=np.int64)
+    model = CharModel(keys, n + held_n)
+    shared = texts.sparkSession.sparkContext.broadcast(CharModel(keys[n > 0], n[n > 0]))
     rows = some.filter("held").select("text").filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-    gains = gather(rows.mapInPandas(lambda it: _gain_batches(it, shared.value), COUNT_SCHEMA), 4 * GAIN_STEPS)
-    model.margin = best_margin(gains, model.margin)
+    gains = gather(rows.mapInPandas(lambda it: _gain_batches(it, shared.value), COUNT_SCHEMA), (4 + 2) * GAIN_STEPS)
+    model.margin = best_margin(gains[: 4 * GAIN_STEPS], model.margin)
+    model.beyond = best_beyond(gains[4 * GAIN_STEPS :], model.beyond)
     shared.destroy()
     return model
 
@@ -686,7 +842,7 @@ class Repairer:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.gains = RunGains(model)
+        self.gains = Gains(model)
         self.known: dict[str, tuple[str | None, str, bool]] = {}
 
     def __call__(self, texts: list[str]) -> list[tuple[str | None, str, bool]]:

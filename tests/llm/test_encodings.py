@@ -48,14 +48,16 @@ def test_a_likely_text_is_tried_too(trained):
     assert best == ["Latency of Febivoki fell by 67.75 μs – well below the brittle passage."] and "in part" in path[0]
 
 
+def model_of(texts):
+    counts = next(iter(en._count_batches(iter([pd.DataFrame({"text": texts})]))))
+    return en.CharModel(counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy())
+
+
 def test_a_first_character_is_judged_among_first_characters():
     """What a record itself adds to the counts does not keep its garbled first letter."""
     clean = [f"Übersicht {w} {i}. Der Überblick zeigt {w}." for i in range(300) for w in ("Titel", "Absatz", "Verlauf")]
     bad = ["Ьbersicht.", "Ьbersicht.", "†bersicht.", "†bersicht."]
-    counts = next(iter(en._count_batches(iter([pd.DataFrame({"text": clean + bad + ["Обзор и список."] * 40})]))))
-    table = np.zeros(en.SIZE, dtype=np.float32)
-    table[counts["key"]] = counts["n"]
-    best, _, garbled = en.restore(bad + clean[:3], en.CharModel.of(table))
+    best, _, garbled = en.restore(bad + clean[:3], model_of(clean + bad + ["Обзор и список."] * 40))
     assert best == ["Übersicht."] * 4 + [None] * 3 and garbled.tolist() == [True] * 4 + [False] * 3
 
 
@@ -77,24 +79,85 @@ def test_margin_weighs_false_accepts_and_misses():
 def test_margin_does_not_depend_on_the_order_of_rows(spark, data):
     items = spark.read.parquet(f"{data}/text_items.parquet").select(F.col("str").alias("text"))
     down, up = (en.fit(items.orderBy(order), held_out=4) for order in (F.desc("text"), F.asc("text")))
-    assert down.margin == up.margin and np.array_equal(down.counts.values, up.counts.values)
+    assert down.margin == up.margin
+    assert dict(zip(down.counts.keys, down.counts.counts)) == dict(zip(up.counts.keys, up.counts.counts))
 
 
 def test_held_out_rows_are_counted_apart():
     rows = pd.DataFrame({"text": ["Überblick", "Größe"], "held": [False, True]})
-    keys = next(iter(en._count_batches(iter([rows]))))["key"].to_numpy()
-    alone = next(iter(en._count_batches(iter([rows[:1]]))))["key"].to_numpy()
-    assert np.array_equal(keys[keys < en.SIZE], alone) and (keys >= en.SIZE).any()
+    both = next(iter(en._count_batches(iter([rows]))))
+    alone = next(iter(en._count_batches(iter([rows[:1]]))))
+    assert dict(zip(both["key"], both["n"]))[alone["key"][0]] == alone["n"][0] and both["n"].sum() == alone["n"].sum() and both["held"].sum() > 0
+
+
+def test_lookup_and_tally_are_exact():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 63, 50_000, dtype=np.uint64))
+    table = en.Lookup(keys, np.arange(len(keys)))
+    assert np.array_equal(table.of(keys), np.arange(len(keys))) and not table.of(keys + np.uint64(1)).any()
+    drawn = [rng.choice(keys[:500], 40_000) for _ in range(40)]
+    tally = en.KeyTally()
+    for i, some in enumerate(drawn):
+        tally.add(some, i % 2)
+    got = tally.frame().set_index("key")
+    for column, k in (("n", 0), ("held", 1)):
+        want, n = np.unique(np.concatenate(drawn[k::2]), return_counts=True)
+        assert np.array_equal(got.loc[want.view(np.int64), column], n)
+
+
+def test_rare_ngrams_are_left_out_beyond_the_bound(spark):
+    keys = [(k << 2 | order, n, 0) for k, order, n in [(1, 1, 1), (2, 2, 5), (3, 2, 3), (4, 3, 3), (5, 3, 1)]]
+    counts = spark.createDataFrame(keys, en.KEYED_SCHEMA)
+    kept = lambda most: sorted(en.gather_keys(counts, most)["key"] // 4)
+    assert kept(4) == [1, 2, 3, 4, 5] and kept(3) == [1, 2, 3, 4] and kept(2) == [1, 2] and kept(0) == [1]
+
+
+def test_bits_of_all_texts_at_once():
+    texts = ["Ã©t Î1⁄4s é", "п п╟п╨", "�x", "plain", "縺薙ｌ�"]
+    can, opens = en._Bits().of(texts)
+    for k, text in enumerate(texts):
+        for i, x in enumerate(en.SINGLE_BYTE + en.MULTI_BYTE):
+            chars = [en._raw(c, x) if c != "\ufffd" else None for c in text]
+            assert bool(can[k] >> i & 1) == (None not in chars)
+            raw = [(b, j) for j, c in enumerate(chars) for b in (c if c is not None else b"?")]
+            pairs = sum(bool(en._BEGINS[b] and en._GOES_ON[d]) and not (chars[j] is None) for (b, j), (d, _) in zip(raw, raw[1:]))
+            high = sum(b > 127 for b, _ in raw)
+            assert bool(opens[k] >> i & 1) == (pairs > 0 and pairs * (3 if x in en.SINGLE_BYTE else 4) >= high), (text, x)
 
 
-def test_bytes_of_all_texts_at_once():
-    texts = ["Ã©t Î1⁄4s é", "", "п п╟п╨", "�x", "plain", "𝄞é"]
-    own = en.Bytes(texts)
-    for k, text in enumerate(texts):
-        for i, x in enumerate(en.SINGLE_BYTE):
-            raw = text.translate(en._to_latin(x)).replace("\ufffd", "\xff").encode("latin-1", "replace")
-            assert own.of(k, i) == raw and own.can[k, i] == (en._raw(text, x) is not None)
-            assert own.open[k, i] == (len(en._PAIR.findall(raw)) * 3 >= len(en._HIGH.findall(raw)))
+def test_windows_cover_all_that_speaks():
+    text = "für den „Überblick“, 2\xa0m – é。中文。\nЭто список, он"
+    spans = en.windows(text)
+    inside = set().union(*(range(a, b) for a, b, _, _ in spans))
+    assert {i for i, c in enumerate(text) if en._SPEAKING.match(c)} <= inside
+    assert all(l <= a < b <= r and text[l:a].isascii() and text[b:r].isascii() for a, b, l, r in spans)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_a_lone_character_is_no_stretch_of_a_text(trained):
+    """One letter that is rare in its language is not taken for one of another script."""
+    assert en.restore(["Für den Überblick. Ähnlich kürzt er die Übersicht."], trained)[0] == [None]
+
+
+def test_beyond_leaves_few_clean_rows():
+    means = np.zeros(2 * en.GAIN_STEPS)
+    assert en.best_beyond(means, -9.0) == -9.0
+    means[:30] = 1000
+    assert en.best_beyond(means, -9.0) == -9.0
+    means[50] = 100  # rows with a mean of 12.5 to 12.75
+    assert en.best_beyond(means, -9.0) == -12.75
+
+
+def test_stretches_against_all_choices():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        gains = [None if rng.random() < 0.2 else float(rng.normal(0, 6)) for _ in range(int(rng.integers(1, 7)))]
+        total, inside = en._stretches(gains)
+        worth = lambda use: sum(g for g, u in zip(gains, use) if u) - en.SWITCH * sum(a != b for a, b in zip(use, use[1:]))
+        options = [use for use in product((False, True), repeat=len(gains)) if not any(u and g is None for u, g in zip(use, gains))]
+        assert abs(total - max(map(worth, options))) < 1e-9 and abs(worth(inside) - total) < 1e-9
 
 
 def test_lost_characters_are_reported_without_a_guess(trained):
@@ -112,6 +175,40 @@ def test_few_clean_rows_of_the_tables_change(spark, data, trained):
     assert en.restore(bad, trained)[2].mean() > 0.95
 
 
+def garble(text, written, read):
+    raw = text.encode(written)
+    return "".join(map(chr, en._decode_table(read)[list(raw)])) if read in en.SINGLE_BYTE else raw.decode(read)
+
+
+CLEAN_LINES = {
+    "ru": ["Почему Кемодава заменяет список?", "Группа читателей отклоняет отчёт.", "Этот индекс сокращает поиск.", "Новый раздел уточняет порог.", "Старый обзор скрывает ответ.", "Такой запрос меняет вывод."],
+    "de": ["Für den Überblick genügt Sefufote völlig.", "Die Größe fällt auf 12 Prozent.", "Das Team erklärt den Maßstab.", "Später ändert sich die Länge.", "Der Prüfer wählt früh.", "Danach kürzt er die Übersicht."],
+}
+
+
+@pytest.mark.parametrize("front", [1, 6])
+@pytest.mark.parametrize("lang, written, read", [("ru", "utf-8", "cp1251"), ("ru", "koi8-r", "cp1251"), ("ru", "utf-8", "cp1252"), ("ru", "cp866", "cp1251"), ("de", "utf-8", "cp1252"), ("de", "utf-8", "latin-1"), ("de", "mac-roman", "cp1252")])
+def test_a_garbled_line_behind_clean_ones_is_restored(trained, lang, written, read, front):
+    lines = CLEAN_LINES[lang]
+    bad = " ".join(lines[:front]) + "\n" + garble(lines[0], written, read)
+    best, path, garbled = en.restore([bad], trained)
+    assert garbled[0] and best[0] == " ".join(lines[:front]) + "\n" + lines[0], path
+
+
+@pytest.mark.parametrize("written, read", [("iso8859-6", "cp1256"), ("utf-8", "cp1256"), ("cp1256", "cp1252")])
+def test_code_pages_of_one_script(trained, written, read):
+    text = "جميع الحقوق محفوظة."
+    best, _, garbled = en.restore([garble(text, written, read), text], trained)
+    assert garbled.tolist() == [True, False] and best[0] == text
+
+
+def test_lost_bytes_of_wide_encodings(trained):
+    raw = "多么新的查询,这样减少了摘要".encode()
+    bad = (raw[:7] + raw[8:]).decode("gb18030", "replace")
+    best, _, garbled = en.restore([bad], trained)
+    assert garbled[0] and best[0] is not None and "这样减少了" in best[0]
+
+
 SCHEMA = "rec_kind string, rec_key long, text string"
 
 
