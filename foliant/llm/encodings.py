@@ -79,10 +79,14 @@ class CharModel:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, margin: float = 3.0, beyond: float = -9.0):
         self.counts, self.margin, self.beyond = Lookup(keys, counts), margin, beyond
+        self.gains: Gains | None = None
         single = (keys & np.uint64(3)) == 1
         marks = self.counts.of(keyed(1, np.array([2], dtype=np.uint32)))[0]  # those in front follow nothing
         self.total = float(counts[single].sum()) - marks
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"gains": None}
+
     def log_probs(self, points: np.ndarray, offsets: np.ndarray, less_one: bool = False) -> np.ndarray:
         """ln P of each point given the two before it; 0 at the marks in front.
 
@@ -122,6 +126,17 @@ class CharModel:
         out[0xFFFF] = 0.0  # stands for all beyond
         return out
 
+    def pair_bounds(self, chars: np.ndarray) -> np.ndarray:
+        """ln of the greatest probability that each of the characters (columns) can have behind each (rows), whatever stands before both."""
+        first, second = np.repeat(chars, len(chars)), np.tile(chars, len(chars))
+        digit = lambda c: np.where((c >= 0x30) & (c <= 0x39), np.uint32(0x30), c)
+        first, second = digit(first), digit(second)
+        n = self.counts.of(keyed(2, first, second))
+        prob = (self.counts.of(keyed(1, second)) + 0.02) / (self.total + 0.02 * CHARACTERS)
+        prob = (n + 4.0 * prob) / (np.maximum(self.counts.of(keyed(1, first)) - 1, n) + 4.0)
+        prob = np.minimum(1.0, (n + 4.0 * prob) / (n + 4.0))
+        return np.log(prob).reshape(len(chars), len(chars))
+
     def score(self, texts: list[str], whole: bool = True) -> np.ndarray:
         """ln P of each text; of a part of a text, without its end, if not ``whole``.
 
@@ -258,6 +273,10 @@ def windows(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+#: Characters outside ASCII up to which a text may be UTF-8 all of whose continuation bytes were folded to ASCII.
+FEW_SIGNS = 3
+
+
 class _Bits:
     """By code point below 0x10000, bits for the codecs X: it can write the character; there is a beginning of a UTF-8 sequence
     and its continuation within the character's bytes; its last byte begins one; its first one goes on with one; it has one byte,
@@ -287,24 +306,31 @@ class _Bits:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each of the texts, none of them empty: the codecs that can write it, and those under which enough UTF-8 sequences
-        begin and go on (a third of its bytes outside ASCII begin one, a quarter for multi-byte codecs)."""
+        begin and go on (a third of its bytes outside ASCII begin one, a quarter for multi-byte codecs; and one of them, in a text of more
+        than a few such characters, with a byte that is no ASCII now)."""
         points, offsets = flatten(texts)
         low = np.where(points < 1 << 16, points, 0xFFFF)
         self.learn(low)
-        pair = self.inner[low]
-        follows = self.starts[low[1:]].copy()
-        follows[offsets[1:-1] - 1] = 0  # a text's last character is followed by none
-        pair[:-1] |= self.ends[low[:-1]] & follows
         at = np.flatnonzero(points > 127)
         start = np.searchsorted(at, offsets)
-        pair, high, high2 = pair[at], self.high[low[at]], self.high2[low[at]]
+        here, behind = low[at], low[np.minimum(at + 1, len(low) - 1)]
+        last = np.zeros(len(points) + 1, dtype=bool)
+        last[offsets[1:] - 1] = True  # a text's last character is followed by none
+        follows = np.where(last[at], np.uint32(0), self.starts[behind])
+        pair = self.inner[here] | (self.ends[here] & follows)
+        whole = np.where(behind > 127, pair, self.inner[here])
         opens = np.zeros(len(texts), dtype=np.uint32)
-        for i in range(len(SINGLE_BYTE + MULTI_BYTE)):
-            ones = lambda bits: row_sums((bits >> np.uint32(i)) & np.uint32(1), start)  # noqa: E731, B023
-            pairs = ones(pair)
-            if pairs.any():
-                enough = (pairs > 0) & (pairs * (3 if i < len(SINGLE_BYTE) else 4) >= ones(high) + ones(high2))
-                opens |= enough.astype(np.uint32) << np.uint32(i)
+        some = np.flatnonzero(np.diff(start) > 0)
+        if len(some):
+            first = start[:-1][some]
+            ones = lambda bits: np.add.reduceat((bits >> np.uint32(i)) & np.uint32(1), first)  # noqa: E731, B023
+            for i in range(len(SINGLE_BYTE + MULTI_BYTE)):
+                pairs = ones(pair)
+                if pairs.any():
+                    enough = (pairs > 0) & (pairs * (3 if i < len(SINGLE_BYTE) else 4) >= ones(self.high[here]) + ones(self.high2[here]))
+                    opens[some] |= enough.astype(np.uint32) << np.uint32(i)
+            short = np.diff(start)[some] <= FEW_SIGNS
+            opens[some] &= np.where(short, np.uint32(0xFFFFFFFF), np.bitwise_or.reduceat(whole, first))
         return np.bitwise_and.reduceat(self.can[low], offsets[:-1]), opens
 
 
@@ -318,6 +344,35 @@ LEAST_VALID = -2.0
 SWITCH = 4.0
 
 
+@functools.cache
+def _byte_table(x: str) -> np.ndarray:
+    """By code point below 0x10000 the byte of a character that the single-byte codec can write."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    out[:128] = np.arange(128)
+    for c, b in _to_latin(x).items():
+        if b != REPLACED:
+            out[c] = b
+    return out
+
+
+_HIGH_PAIR = re.compile(b"[\x80-\xff](?:.|$)", re.DOTALL)
+
+
+@functools.cache
+def _first_pairs() -> frozenset[bytes]:
+    """Two bytes, or one at the end, with which the first character outside ASCII may begin in some multi-byte encoding."""
+    out = set()
+    for some in (bytes([a, b][:n]) for a in range(128, 256) for b in range(256) for n in (1, 2)):
+        for y in WRITTEN_MULTI if some not in out else ():
+            try:
+                some.decode(y)
+                out.add(some)
+            except UnicodeDecodeError as e:
+                if len(some) > 1 and e.start == 0 and e.reason.startswith("incomplete"):
+                    out.add(some)
+    return frozenset(out)
+
+
 @functools.cache
 def _strict_table(codec: str) -> np.ndarray:
     """Code point of each byte; -1 if the codec knows none."""
@@ -330,6 +385,13 @@ def _strict_table(codec: str) -> np.ndarray:
     return out
 
 
+def gains_of(model: CharModel) -> Gains:
+    """The model's gains, kept with it for all tasks of a Python worker."""
+    if model.gains is None:
+        model.gains = Gains(model)
+    return model.gains
+
+
 class Gains:
     """What each chain gains on a window, remembered by window.
 
@@ -340,42 +402,31 @@ class Gains:
         self.model = model
         self.known: dict[str, tuple[float, dict[str, tuple[float, str]], bool]] = {}
         self.most = model.bounds()
-        self.most_of_byte = {}
+        chars = np.unique(np.concatenate([_strict_table(y) for y in WRITTEN_SINGLE]))
+        pairs = model.pair_bounds(np.maximum(chars, 0).astype(np.uint32)).astype(np.float32)
+        pairs[chars < 0] = pairs[:, chars < 0] = -1e9
+        #: By two bytes, the greatest ln P of the second one's character behind the first one's.
+        self.most_of_pair = {}
         for y in WRITTEN_SINGLE:
-            table = _strict_table(y)
-            self.most_of_byte[y] = np.where(table < 0, -1e9, self.most[table])
+            at = np.searchsorted(chars, _strict_table(y))
+            self.most_of_pair[y] = pairs[at[:, None], at].ravel()
 
     def learn(self, some: list[str]) -> None:
+        some = list(dict.fromkeys(some))
         if len(self.known) > KEPT_WINDOWS:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(some) if w not in self.known]
+            self.known = {w: self.known[w] for w in some if w in self.known}
+        new = [w for w in some if w not in self.known]
         for part in portions(new, 1 << 16):
             self._learn(new[part])
 
     def _learn(self, new: list[str]) -> None:
         base = self.model.score(new)
         writers, pairs = _bits.of(new)
-        raws: list[bytes] = []
-        owner: list[int] = []
-        codecs: list[list[str]] = []  # that write the same bytes
-        for k, (window, can) in enumerate(zip(new, writers.tolist())):
-            tried: dict[bytes, list[str]] = {}
-            while can:
-                x = (SINGLE_BYTE + MULTI_BYTE)[(can & -can).bit_length() - 1]
-                can &= can - 1
-                raw = _raw(window, x)
-                if raw is not None:
-                    tried.setdefault(raw, []).append(x)
-            raws += tried
-            owner += [k] * len(tried)
-            codecs += tried.values()
         forms: dict[tuple[int, str], list[str]] = defaultdict(list)
         for k, window in enumerate(new):
             for name, got in utf8_chains(window, 1):
                 forms[k, got].append(name)
-        least = base + FLOOR
-        self._single(raws, owner, codecs, least, forms)
-        self._wide(raws, owner, codecs, least, forms)
+        self._bytewise(new, writers, base + FLOOR, forms)
         for k in np.flatnonzero(pairs):
             for name, got in damaged_forms(new[k], int(pairs[k])):
                 forms[int(k), got].append(name)
@@ -394,35 +445,59 @@ class Gains:
         for window, result in zip(new, results):
             self.known[window] = max((g for g, _ in result.values()), default=0.0), result, any(g > 0 and ">utf-8" in name for name, (g, _) in result.items())
 
-    def _single(self, raws: list[bytes], owner: list[int], codecs: list[list[str]], least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
-        if not raws:
-            return
-        joined = np.frombuffer(b"".join(raws), dtype=np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
-        enough = least[owner]
-        enough[[xs[0] in MULTI_BYTE for xs in codecs]] = np.inf
-        for y, most in self.most_of_byte.items():
-            for r in np.flatnonzero(row_sums(most[joined], offsets) > enough):
-                if y not in codecs[r]:
-                    forms[owner[r], raws[r].decode(y)] += [f"{x}>{y}" for x in codecs[r] if x in SINGLE_BYTE]
-
-    def _wide(self, raws: list[bytes], owner: list[int], codecs: list[list[str]], least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
-        """Chains to the multi-byte encodings, whose characters may take in ASCII bytes."""
-        found: list[tuple[int, str, list[str]]] = []
-        for raw, k, xs in zip(raws, owner, codecs):
-            for y in WRITTEN_MULTI:
+    def _bytewise(self, new: list[str], writers: np.ndarray, least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
+        """Chains to the single-byte and multi-byte encodings; the latter's characters may take in ASCII bytes."""
+        points, offsets = flatten(new)
+        low = np.where(points < 1 << 16, points, 0xFFFF)
+        wide: list[tuple[int, str, list[str]]] = []
+        raws: dict[tuple[int, bytes], list[str]] = {}
+        for i, x in enumerate(SINGLE_BYTE):
+            at = np.flatnonzero(writers >> np.uint32(i) & np.uint32(1))
+            if len(at):
+                sizes = np.diff(offsets)[at]
+                start = np.concatenate([[0], np.cumsum(sizes)])
+                raw = _byte_table(x)[low[np.arange(start[-1]) + np.repeat(offsets[at] - start[:-1], sizes)]].tobytes()
+                for k, a, b in zip(at.tolist(), start.tolist(), start[1:].tolist()):
+                    raws.setdefault((k, raw[a:b]), []).append(x)
+        self._single(raws, least, forms)
+        for i, x in enumerate(MULTI_BYTE, len(SINGLE_BYTE)):
+            for k in np.flatnonzero(writers >> np.uint32(i) & np.uint32(1)):
+                raw = _raw(new[k], x)
+                if raw is not None:
+                    raws.setdefault((int(k), raw), []).append(x)
+        for (k, raw), xs in raws.items():
+            pair = _HIGH_PAIR.search(raw)
+            for y in WRITTEN_MULTI if pair and pair[0] in _first_pairs() else ():
                 if y not in xs:
                     try:
-                        found.append((k, raw.decode(y), [f"{x}>{y}" for x in xs]))
+                        wide.append((k, raw.decode(y), [f"{x}>{y}" for x in xs]))
                     except UnicodeDecodeError:
                         pass
-        if found:
-            points, offsets = flatten([got for _, got, _ in found])
-            most = row_sums(self.most[np.where(points < 1 << 16, points, 0xFFFF)], offsets)
-            for r in np.flatnonzero(most > least[[k for k, _, _ in found]]):
-                k, got, names = found[r]
+        if wide:
+            points, offsets = flatten([got for _, got, _ in wide])
+            most = np.add.reduceat(self.most[np.where(points < 1 << 16, points, 0xFFFF)], offsets[:-1])
+            for r in np.flatnonzero(most > least[[k for k, _, _ in wide]]):
+                k, got, names = wide[r]
                 forms[k, got] += names
 
+    def _single(self, raws: dict[tuple[int, bytes], list[str]], least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
+        if not raws:
+            return
+        keys = list(raws)
+        joined = np.frombuffer(b"".join(raw for _, raw in keys), dtype=np.uint8)
+        start = np.concatenate([[0], np.cumsum([len(raw) for _, raw in keys])])[:-1]
+        pair = joined.astype(np.int64)
+        pair[1:] += joined[:-1].astype(np.int64) << 8
+        pair[start] = joined[start].astype(np.int64) | 0x20 << 8
+        enough = least[[k for k, _ in keys]]
+        for y, most in self.most_of_pair.items():
+            of_each = most[pair]
+            of_each[start] = np.where(of_each[start] < -1e8, -1e9, 0.0)  # what stands before the window is not known
+            for r in np.flatnonzero(np.add.reduceat(of_each, start) > enough):
+                (k, raw), xs = keys[r], raws[keys[r]]
+                if y not in xs:
+                    forms[k, raw.decode(y)] += [f"{x}>{y}" for x in xs]
+
     def best(self, text: str, own: list[tuple[int, int, int, int]], enough: float) -> Iterator[tuple[float, str, str]]:
         """Chains that gain more than ``enough`` on the text or on stretches of it: gain, name and result."""
         judged = [text[left:right] for _, _, left, right in own]
@@ -569,8 +644,11 @@ def altered_forms(text: str, form: str) -> Iterator[tuple[str, str]]:
                 yield f"{x}>{y} in part", got
 
 
+_FOLDED = re.compile("|".join(re.escape(a) for a, _ in UNFOLD))
+
+
 def _unfolded(text: str) -> str:
-    for a, b in UNFOLD:
+    for a, b in UNFOLD if _FOLDED.search(text) else ():
         text = text.replace(a, b)
     return text
 
@@ -589,7 +667,7 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
         return best, path, garbled
     mean, foreign = doubt(texts, model)
     garbled |= (mean < model.beyond) & (foreign >= SOME) & np.fromiter((_SPEAKING.search(t) is not None for t in texts), bool, n)
-    gains = Gains(model) if gains is None else gains
+    gains = gains_of(model) if gains is None else gains
     live = [i for i in range(n) if _SPEAKING.search(texts[i])]
     current = dict(zip(live, (texts[i] for i in live)))
     for _ in range(rounds):
@@ -628,7 +706,7 @@ def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None)
     out: list[tuple[float, str, str]] = [(0.0, "", "")] * len(texts)
     if not texts:
         return out
-    gains = Gains(model) if gains is None else gains
+    gains = gains_of(model) if gains is None else gains
     cut = [windows(t) for t in texts]
     judged = [[t[left:right] for _, _, left, right in own] for t, own in zip(texts, cut)]
     perhaps = [False] * len(texts)
@@ -765,7 +843,6 @@ def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator
     """Held-out records by side and step of their gain: as they are if they look clean; garbled on purpose; of those,
     the ones that look clean still; and how many do not look clean."""
     tally = Tally((4 + 2) * GAIN_STEPS)
-    gains = Gains(model)
     for batch in batches:
         whole = batch["text"].tolist()
         for part in portions(whole):
@@ -773,7 +850,7 @@ def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator
             clean = [t for t, k in zip(whole[part], keep) if k]
             bad = [g for t in clean if (g := _probe(t, *PROBES[zlib.crc32(t.encode("utf-8", "surrogatepass")) % len(PROBES)])) and g != t]
             for side, texts in ((CLEAN, clean), (GARBLED, bad)):
-                found = np.array([g for g, _, _ in _best_chains(texts, model, gains)])
+                found = np.array([g for g, _, _ in _best_chains(texts, model)])
                 step = np.clip(found / GAIN_STEP, 0, GAIN_STEPS - 1).astype(np.int64)
                 tally.add(side * GAIN_STEPS + step)
                 if side == CLEAN and texts:
@@ -842,7 +919,6 @@ class Repairer:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.gains = Gains(model)
         self.known: dict[str, tuple[str | None, str, bool]] = {}
 
     def __call__(self, texts: list[str]) -> list[tuple[str | None, str, bool]]:
@@ -851,7 +927,7 @@ class Repairer:
             self.known.clear()
         new = [t for t in dict.fromkeys(texts) if t not in self.known]
         for part in portions(new):
-            self.known |= zip(new[part], zip(*restore(new[part], self.model, self.gains)))
+            self.known |= zip(new[part], zip(*restore(new[part], self.model)))
         return [self.known[t] for t in texts]
 
     def mask(self, texts: list[str | None]) -> np.ndarray:
