@@ -2,8 +2,9 @@
 
 Each document is repeated a Poisson number of times, found by inverting the distribution at a number
 drawn from a hash of seed and doc_id, and never more often than its source allows. The mean of each
-source is the one at which the source's tokens, so counted, come closest to its target; the total is
-the largest that all sources can fill within their repeats. The draw has 4,096 values, so a table of
+source is the one at which the source's tokens, so counted, come closest to its target. The total is
+the largest that all sources can fill within their repeats, or ``total_tokens``; at a total above that
+largest one, sources that cannot fill their share give all they may, and the report shows the deviation. The draw has 4,096 values, so a table of
 tokens by source and draw gives each source's tokens at any mean exactly; it comes to the driver, and
 its size depends on the number of targets alone.
 
@@ -27,8 +28,6 @@ from foliant.llm.tokens import VOCABULARY, with_sizes
 from foliant.session import materialize
 
 DRAWS = 4096
-#: Beyond this mean every draw gives more repeats than any cap below 40.
-TOP_MEAN = 120.0
 
 
 def clean_source(source: Column) -> Column:
@@ -37,14 +36,21 @@ def clean_source(source: Column) -> Column:
 
 def cumulative(mean: float, cap: int) -> list[float]:
     """P(N <= j) for j = 0 .. cap - 1, N Poisson with this mean."""
-    term, total, out = math.exp(-mean), 0.0, []
-    for j in range(cap):
-        total += term
-        out.append(total)
-        term *= mean / (j + 1)
+    if mean <= 0.0:
+        return [1.0] * cap
+    log, total, out = -mean, 0.0, []
+    for j in range(cap):  # by logarithms, as exp(-mean) alone may be too small for a number
+        total += math.exp(log)
+        out.append(min(total, 1.0))
+        log += math.log(mean / (j + 1))
     return out
 
 
+def top_mean(cap: int) -> float:
+    """A mean at which every draw gives ``cap`` repeats: fewer have less than half a draw's probability there."""
+    return cap + 6.0 * math.sqrt(cap) + 12.0
+
+
 def repeats(mean: float, cap: int) -> np.ndarray:
     """The number of repeats at each draw."""
     u = (np.arange(DRAWS) + 0.5) / DRAWS
@@ -54,7 +60,7 @@ def repeats(mean: float, cap: int) -> np.ndarray:
 def fit_mean(tokens: np.ndarray, cap: int, target: float) -> float:
     """The mean at which the repeated tokens come closest to ``target``; they never fall as the mean rises."""
     filled = lambda mean: float(tokens @ repeats(mean, cap))
-    low, high = 0.0, TOP_MEAN
+    low, high = 0.0, top_mean(cap)
     if filled(high) <= target:
         return high
     for _ in range(60):
@@ -66,7 +72,7 @@ def fit_mean(tokens: np.ndarray, cap: int, target: float) -> float:
 class Mixture:
     """Chosen documents with their repeats, and the shares that come out."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = VOCABULARY):
+    def __init__(self, documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = VOCABULARY, total_tokens: float | None = None):
         spark = documents.sparkSession
         self.seed = seed
         draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(DRAWS)).cast("int")
@@ -81,7 +87,8 @@ class Mixture:
         for source, at, n in held.toPandas().itertuples(index=False, name=None):
             by_draw[source][at] = n
         present = [s for s in table if by_draw[s].sum()]
-        self.total = min((by_draw[s].sum() * table[s][1] / (table[s][0] / whole) for s in present), default=0.0)
+        fillable = min((by_draw[s].sum() * table[s][1] / (table[s][0] / whole) for s in present), default=0.0)
+        self.total = fillable if total_tokens is None else float(total_tokens)
         plan = []
         for s in sorted(table):
             share, cap = table[s][0] / whole, table[s][1]
@@ -101,14 +108,16 @@ class Mixture:
         return each.withColumn("order_key", F.xxhash64(F.lit(self.seed + 1), "doc_id", "repeat_no")).orderBy("order_key", "doc_id", "repeat_no")
 
     def shares(self) -> DataFrame:
-        """For each source: what it holds, what it was to give and what it gives."""
+        """For each source: what it holds, what it was to give, what it gives, and the difference. A source whose few documents are large
+        comes only as close as they allow."""
         all_of = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("n_documents"))
         used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("n_chosen"))
         used = materialize(used, "mix-used")
         total = used.agg(F.sum("mixed_tokens").alias("total")).first()["total"]
         joined = all_of.join(self.plan.drop("cdf"), "source", "full").join(used, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+        actual = F.coalesce(F.try_divide("mixed_tokens", "total"), F.lit(0.0))
         return joined.select(
             "source", zero("source_tokens"), zero("n_documents"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), zero("max_repeats"), F.coalesce("mean", F.lit(0.0)).alias("mean"),
-            zero("mixed_tokens"), zero("most_repeats"), zero("n_chosen"), F.coalesce(F.try_divide("mixed_tokens", "total"), F.lit(0.0)).alias("actual_share"),
+            zero("mixed_tokens"), zero("most_repeats"), zero("n_chosen"), actual.alias("actual_share"), (actual - F.coalesce("target_share", F.lit(0.0))).alias("deviation"),
         )

@@ -10,7 +10,8 @@ packed together the same way in a second pass.
 Cases with a defined result: null and empty texts take no room and are not placed; an item larger
 than the capacity is cut into full containers and a rest, an item of exactly the capacity is not cut;
 rows with the same doc_id are items of their own; where doc_ids differ, the same input gives the same
-containers whatever the partitioning; without documents, or without capacities, there is no container; capacities below
+containers whatever the partitioning; two capacities of one kind are two kinds, a null kind is one
+without a name; without documents, or without capacities, there is no container; capacities below
 one are an error.
 """
 
@@ -91,10 +92,10 @@ class Packing:
         shared = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("shared"))
         sized = sized.join(shared, "doc_id", "left").select("doc_id", "n_tokens", F.when(F.col("shared"), F.col("place") + 1).otherwise(F.lit(0)).alias("row_no"))
         # the kinds of container are a short list of settings, whose length does not depend on the corpus
-        kinds = {(r["container_kind"], r["capacity_tokens"]) for r in containers.select("container_kind", "capacity_tokens").filter("capacity_tokens is not null").distinct().collect()}
+        kinds = {(r["container_kind"] or "", r["capacity_tokens"]) for r in containers.select("container_kind", "capacity_tokens").filter("capacity_tokens is not null").distinct().collect()}
         if any(capacity < 1 for _, capacity in kinds):
             raise ValueError("a capacity must be at least 1")
-        each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in sorted(kinds, key=str)])
+        each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in sorted(kinds)])
         if not kinds:
             each = F.array().cast("array<struct<container_kind:string,capacity_tokens:int>>")
         parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / F.col("capacity_tokens")) - 1).cast("int")))
@@ -102,26 +103,27 @@ class Packing:
             "token_start": F.col("part_no").cast("bigint") * F.col("capacity_tokens"),
             "token_end": F.least((F.col("part_no").cast("bigint") + 1) * F.col("capacity_tokens"), F.col("n_tokens")),
         }).withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
-        order = F.xxhash64("container_kind", "doc_id", "row_no", "part_no")
+        kind = F.concat_ws("-", "container_kind", "capacity_tokens")
+        order = F.xxhash64("container_kind", "capacity_tokens", "doc_id", "row_no", "part_no")
         full = items.filter("n_tokens = capacity_tokens").select(
-            "container_kind", "capacity_tokens", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "row_no", "part_no").alias("container_id"),
+            "container_kind", "capacity_tokens", F.concat_ws("-", kind, F.lit("full"), "doc_id", "row_no", "part_no").alias("container_id"),
             "doc_id", "row_no", "part_no", "token_start", "token_end", "n_tokens", F.lit(0).alias("unused_tokens"),
         )
         rest = items.filter("n_tokens < capacity_tokens").withColumns({"ord": order, "grp": F.pmod(order, F.lit(_groups(n, group_items)))})
         columns = ["container_kind", "capacity_tokens", "grp", "ord", "doc_id", "row_no", "part_no", "token_start", "token_end", "n_tokens"]
-        placed = materialize(rest.select(*columns).groupBy("container_kind", "grp").applyInPandas(_pack_group(open_bins), PLACED), "placed")
+        placed = materialize(rest.select(*columns).groupBy("container_kind", "capacity_tokens", "grp").applyInPandas(_pack_group(open_bins), PLACED), "placed")
 
         ends = placed.filter("is_open").groupBy("container_kind", "capacity_tokens", "grp", "bin").agg((F.max("capacity_tokens") - F.max("room")).cast("bigint").alias("n_tokens"))
-        again = F.xxhash64("container_kind", "grp", "bin")
+        again = F.xxhash64("container_kind", "capacity_tokens", "grp", "bin")
         bins = ends.select(
             "container_kind", "capacity_tokens", F.pmod(again, F.lit(_groups(_groups(n, group_items) * open_bins, group_items))).alias("grp"), again.alias("ord"),
             F.col("grp").alias("doc_id"), F.col("bin").cast("bigint").alias("row_no"), F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("token_end"), "n_tokens",
         )
-        merged = bins.groupBy("container_kind", "grp").applyInPandas(_pack_group(open_bins), PLACED)
-        moved = merged.select("container_kind", F.col("doc_id").alias("grp"), F.col("row_no").cast("int").alias("bin"), F.lit(True).alias("is_open"), F.concat_ws("-", "container_kind", F.lit("end"), "grp", "bin").alias("new_id"), F.col("room").alias("new_room"))
-        joined = placed.join(moved, ["container_kind", "grp", "bin", "is_open"], "left")
+        merged = bins.groupBy("container_kind", "capacity_tokens", "grp").applyInPandas(_pack_group(open_bins), PLACED)
+        moved = merged.select("container_kind", "capacity_tokens", F.col("doc_id").alias("grp"), F.col("row_no").cast("int").alias("bin"), F.lit(True).alias("is_open"), F.concat_ws("-", kind, F.lit("end"), "grp", "bin").alias("new_id"), F.col("room").alias("new_room"))
+        joined = placed.join(moved, ["container_kind", "capacity_tokens", "grp", "bin", "is_open"], "left")
         packed = joined.select(
-            "container_kind", "capacity_tokens", F.coalesce("new_id", F.concat_ws("-", "container_kind", "grp", "bin")).alias("container_id"),
+            "container_kind", "capacity_tokens", F.coalesce("new_id", F.concat_ws("-", kind, "grp", "bin")).alias("container_id"),
             "doc_id", "row_no", "part_no", "token_start", "token_end", "n_tokens", F.coalesce("new_room", "room").alias("unused_tokens"),
         )
         self.placed = full.unionByName(packed)

@@ -61,3 +61,21 @@ def test_empty_tables(spark):
     m = mixture(spark, [], [("big", 1.0, 2)])
     assert m.mixture().count() == 0 and [r["mixed_tokens"] for r in m.shares().collect()] == [0]
     assert mixture(spark, [(1, "big", "a")], []).mixture().count() == 0
+
+
+def test_a_large_cap_is_reached(spark):
+    for cap in (1, 40, 400, 2000):
+        assert (mx.repeats(mx.top_mean(cap), cap) == cap).all()
+    assert all(a <= b for a, b in zip(mx.cumulative(900.0, 1000), mx.cumulative(900.0, 1000)[1:])) and abs(mx.cumulative(900.0, 1400)[-1] - 1) < 1e-9
+    tiny, big = [(i, "tiny", "a few words") for i in range(20)], [(100 + i, "big", "some words " * 40) for i in range(400)]
+    by = {r["source"]: r for r in mixture(spark, tiny + big, [("tiny", 0.5, 400), ("big", 0.5, 1)]).shares().collect()}
+    assert abs(by["tiny"]["actual_share"] - 0.5) < 0.02 and abs(by["tiny"]["deviation"]) < 0.02 and by["tiny"]["most_repeats"] > 100
+
+
+def test_the_total_may_be_chosen(spark):
+    some = docs(2000)
+    targets = [("big", 0.5, 1), ("small-set", 0.5, 4)]
+    for total in (2000, 4000):
+        assert abs(sum(r["mixed_tokens"] for r in mixture(spark, some, targets, total_tokens=total).shares().collect()) - total) < 60
+    by = {r["source"]: r for r in mixture(spark, some, targets, total_tokens=10**9).shares().collect()}
+    assert by["big"]["most_repeats"] == 1 and by["small-set"]["most_repeats"] == 4

@@ -70,3 +70,17 @@ def test_empty_tables(spark):
 def test_very_long_text(spark):
     p = packing(spark, [(1, "word " * 50_000)], kinds=(("card", 256),))
     assert sum(r["n_tokens"] for r in p.placement().collect()) == len(encoding().encode_ordinary("word " * 50_000))
+
+
+def test_kinds_of_one_name_and_without_a_name(spark):
+    docs = [(i, "word " * (i % 90)) for i in range(200)]
+    rows = packing(spark, docs, kinds=(("a", 50), ("a", 100), (None, 70)), group_items=50, open_bins=4).placement().collect()
+    used = {}
+    for r in rows:
+        used.setdefault((r["container_kind"], r["capacity_tokens"], r["container_id"]), []).append(r)
+    assert {k[:2] for k in used} == {("a", 50), ("a", 100), ("", 70)} and len({k[2] for k in used}) == len(used)
+    assert all(sum(r["n_tokens"] for r in own) + r0["unused_tokens"] == k[1] for k, own in used.items() for r0 in own)
+    per = {}
+    for (kind, capacity, _), own in used.items():
+        per[kind, capacity] = per.get((kind, capacity), 0) + sum(r["n_tokens"] for r in own)
+    assert len(set(per.values())) == 1
