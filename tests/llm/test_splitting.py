@@ -81,3 +81,43 @@ def test_agrees_with_cutting_everywhere(spark, data):
 def test_overlap_must_be_below_the_limit():
     with pytest.raises(ValueError):
         sp.split("a", 10, False, 10)
+
+
+def test_sections_nest_by_the_depth_of_their_headings():
+    body = "\n\n".join(["words " * 30] * 2)
+    text = f"# A\n\n{body}\n\n## B\n\n{body}\n\n## C\n\n{body}\n\n# D\n\n{body}"
+    top = sp._Tree(text, 500, False).sections()
+    heads = lambda nodes: [text[n.start : n.start + 4].strip() for n in nodes if n.level == -1]
+    assert heads(top) == ["# A", "# D"] and heads(top[0].parts) == ["## B", "## C"]
+    starts = [text[p.start : p.start + 4].strip() for p in sp.split(text, 800, False)]
+    assert starts[0] == "# A" and "## C" in starts  # A is too large: cut between its parts, never behind a heading
+    for limit in (300, 450, 800):
+        assert not any(text[p.start : p.end].rstrip().endswith(("# A", "## B", "## C", "# D")) for p in sp.split(text, limit, False))
+
+
+def test_list_items_hold_what_is_indented_under_them():
+    text = "\n".join(f"- item {i} {'word ' * 8}\n  - under {i} {'word ' * 8}\n    more of it" for i in range(12))
+    pieces = sp.split(text, 300, False)
+    assert len(pieces) > 3 and all(text[p.start :].startswith("- item") for p in pieces)
+
+
+def test_the_rest_of_an_oversized_node_is_merged_with_its_next_sibling():
+    text = "word " * 110 + "\n\nshort end."
+    assert len(sp.split(text, 500, False)) == 2
+
+
+def test_the_first_piece_has_the_whole_limit():
+    first, *others = sp.split("word " * 300, 500, False, 60)
+    assert first.end - first.start > 440 and all(p.lead for p in others)
+
+
+def test_marks_stay_with_their_characters():
+    for unit in ("e\u0301\u0323", "👩\u200d👩\u200d👧", "\u0915\u094d\u0937"):
+        text = unit * 200
+        assert all((p.end) % len(unit) == 0 for p in sp.split(text, 100, False))
+    assert len(sp.split("a" + "\u0301" * 300, 100, False)) == 4
+
+
+@pytest.mark.parametrize("text, cut", [("\n" * 600, "paragraph"), (" " * 600, "word"), ("日本語の文です。" * 90, "forced"), ("日本語の文です。 " * 90, "word"), (" " * 501 + "\n\n" + "a", "word")])
+def test_cut_at_of_white_space_and_of_sentences_without_it(text, cut):
+    assert sp.cut_at(text, 500, False) == cut
