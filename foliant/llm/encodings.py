@@ -355,24 +355,6 @@ def _byte_table(x: str) -> np.ndarray:
     return out
 
 
-_HIGH_PAIR = re.compile(b"[\x80-\xff](?:.|$)", re.DOTALL)
-
-
-@functools.cache
-def _first_pairs() -> frozenset[bytes]:
-    """Two bytes, or one at the end, with which the first character outside ASCII may begin in some multi-byte encoding."""
-    out = set()
-    for some in (bytes([a, b][:n]) for a in range(128, 256) for b in range(256) for n in (1, 2)):
-        for y in WRITTEN_MULTI if some not in out else ():
-            try:
-                some.decode(y)
-                out.add(some)
-            except UnicodeDecodeError as e:
-                if len(some) > 1 and e.start == 0 and e.reason.startswith("incomplete"):
-                    out.add(some)
-    return frozenset(out)
-
-
 @functools.cache
 def _strict_table(codec: str) -> np.ndarray:
     """Code point of each byte; -1 if the codec knows none."""
@@ -466,8 +448,7 @@ class Gains:
                 if raw is not None:
                     raws.setdefault((int(k), raw), []).append(x)
         for (k, raw), xs in raws.items():
-            pair = _HIGH_PAIR.search(raw)
-            for y in WRITTEN_MULTI if pair and pair[0] in _first_pairs() else ():
+            for y in WRITTEN_MULTI:
                 if y not in xs:
                     try:
                         wide.append((k, raw.decode(y), [f"{x}>{y}" for x in xs]))
@@ -665,8 +646,6 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
     garbled |= np.fromiter((control.search(t) is not None for t in texts), bool, n)
     if not model.total:  # nothing was learned: no text is likelier than another
         return best, path, garbled
-    mean, foreign = doubt(texts, model)
-    garbled |= (mean < model.beyond) & (foreign >= SOME) & np.fromiter((_SPEAKING.search(t) is not None for t in texts), bool, n)
     gains = gains_of(model) if gains is None else gains
     live = [i for i in range(n) if _SPEAKING.search(texts[i])]
     current = dict(zip(live, (texts[i] for i in live)))
@@ -680,6 +659,9 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
                 if not got.isascii():
                     after.append(i)
         live = after
+    rest = [i for i in range(n) if not garbled[i] and i in current]
+    mean, foreign = doubt([texts[i] for i in rest], model)
+    garbled[np.array(rest, dtype=np.int64)[(mean < model.beyond) & (foreign >= SOME)]] = True
     return best, path, garbled
 
 
@@ -694,11 +676,15 @@ SOME = 5
 
 
 def doubt(texts: list[str], model: CharModel) -> tuple[np.ndarray, np.ndarray]:
-    """Mean ln P of each text's characters outside ASCII, and their number."""
-    points, offsets = flatten(texts, 2, 1)
-    high = points > 127
-    foreign = row_sums(high.astype(np.float64), offsets)
-    return row_sums(np.where(high, model.log_probs(points, offsets), 0.0), offsets) / np.maximum(1, foreign), foreign
+    """Mean ln P of each text's characters outside ASCII, and their number; of texts with fewer than SOME of them no mean is taken."""
+    number = np.array([sum(map(len, _RUN.findall(t))) for t in texts], dtype=np.float64)
+    sums = np.zeros(len(texts))
+    some = np.flatnonzero(number >= SOME)
+    cut = [[texts[i][left:right] for _, _, left, right in windows(texts[i])] for i in some]
+    points, offsets = flatten([w for own in cut for w in own], 2, 1)
+    of_window = row_sums(np.where(points > 127, model.log_probs(points, offsets), 0.0), offsets)
+    np.add.at(sums, np.repeat(some, [len(own) for own in cut]), of_window)
+    return sums / np.maximum(1.0, number), number
 
 
 def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None) -> list[tuple[float, str, str]]:
@@ -783,6 +769,13 @@ def _looks_clean(texts: list[str]) -> np.ndarray:
     Left out: U+FFFD, control or private-use characters, any chain back to UTF-8, a majority of
     accented Latin letters and Latin-1 signs, and words outside ASCII that change from lower to upper case.
     """
+    out = np.ones(len(texts), dtype=bool)
+    foreign_at = [i for i, t in enumerate(texts) if not t.isascii()]
+    out[foreign_at] = _foreign_looks_clean([texts[i] for i in foreign_at])
+    return out
+
+
+def _foreign_looks_clean(texts: list[str]) -> np.ndarray:
     points, offsets = flatten(texts, 1, 0)
     low = np.where(points < 1 << 16, points, 0xFFFF)
     odd = ((points >= 0x80) & (points < 0xA0)) | ((points >= 0xE000) & (points < 0xF900)) | (points == REPLACED)
@@ -795,7 +788,7 @@ def _looks_clean(texts: list[str]) -> np.ndarray:
     foreign = sums(kind & 8 > 0)
     clean = (sums(odd) == 0) & (accented * 2.5 <= letters) & (sums(mixed) * 20 <= foreign)
     for i, text in enumerate(texts):
-        if clean[i] and not text.isascii():
+        if clean[i]:
             clean[i] = next(utf8_chains(text), None) is None
     return clean
 
