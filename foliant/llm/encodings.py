@@ -247,29 +247,24 @@ def utf8_chains(text: str, depth: int = 3) -> Iterator[tuple[str, str]]:
 _WINDOW = re.compile("[^\x00-\x7f]+(?:[\x00-\x09\x0b-\x7f][^\x00-\x7f]+)*")
 #: Full stops written without a space behind them, where a window may end.
 _STOPS = re.compile("(?<=[。！？｡])(?=.)", re.DOTALL)
-#: ASCII characters in front of a window and behind it that it is judged with.
-BEFORE, BEHIND = 2, 2
 
 
 def windows(text: str) -> list[tuple[int, int, int, int]]:
-    """The text's windows: where each begins and ends, and where what it is judged with begins and ends.
+    """The text's windows: where each begins and ends, and where what it is judged with begins and ends, up to two ASCII characters on both sides.
 
     A model of three characters sees no further than from one window to the next, so what a chain gains on a text is the sum
     of its gains on the windows. Those of spaces and invisible marks alone are left out.
     """
     out = []
     for m in _WINDOW.finditer(text):
-        a = m.start()
-        for stop in (*(k.start() for k in _STOPS.finditer(m.group())), len(m.group())):
-            b = m.start() + stop
+        a, end = m.span()
+        left = a - 2 if a > 1 and text[a - 2] < "\x80" else max(0, a - 1)  # the character beside a window is ASCII, the second one may not be
+        ends = [k.start() for k in _STOPS.finditer(text, a, end)] if _STOPS.search(text, a, end) else []
+        for b in (*ends, end):
             if _SPEAKING.search(text, a, b):
-                left, right = max(0, a - BEFORE), min(len(text), b + BEHIND)
-                while left < a and not text[left:a].isascii():
-                    left += 1
-                while right > b and not text[b:right].isascii():
-                    right -= 1
-                out.append((a, b, left, right))
-            a = b
+                right = b if b < end else b + 2 if text[b + 1 : b + 2] < "\x80" else b + 1
+                out.append((a, b, left, min(right, len(text))))
+            a = left = b
     return out
 
 
@@ -382,7 +377,7 @@ class Gains:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.known: dict[str, tuple[float, dict[str, tuple[float, str]], bool]] = {}
+        self.known: dict[str, tuple[float, dict[str, tuple[float, str]], bool, float]] = {}
         self.most = model.bounds()
         chars = np.unique(np.concatenate([_strict_table(y) for y in WRITTEN_SINGLE]))
         pairs = model.pair_bounds(np.maximum(chars, 0).astype(np.uint32)).astype(np.float32)
@@ -402,7 +397,9 @@ class Gains:
             self._learn(new[part])
 
     def _learn(self, new: list[str]) -> None:
-        base = self.model.score(new)
+        points, offsets = flatten(new, 2, 1)
+        logs = self.model.log_probs(points, offsets, less_one=True)
+        base, foreign = row_sums(logs, offsets), row_sums(np.where(points > 127, logs, 0.0), offsets)
         writers, pairs = _bits.of(new)
         forms: dict[tuple[int, str], list[str]] = defaultdict(list)
         for k, window in enumerate(new):
@@ -424,8 +421,8 @@ class Gains:
                     for name in forms[k, got]:
                         if name not in results[k] or gain > results[k][name][0]:
                             results[k][name] = gain, got
-        for window, result in zip(new, results):
-            self.known[window] = max((g for g, _ in result.values()), default=0.0), result, any(g > 0 and ">utf-8" in name for name, (g, _) in result.items())
+        for window, result, log in zip(new, results, foreign.tolist()):
+            self.known[window] = max((g for g, _ in result.values()), default=0.0), result, any(g > 0 and ">utf-8" in name for name, (g, _) in result.items()), log
 
     def _bytewise(self, new: list[str], writers: np.ndarray, least: np.ndarray, forms: dict[tuple[int, str], list[str]]) -> None:
         """Chains to the single-byte and multi-byte encodings; the latter's characters may take in ASCII bytes."""
@@ -485,9 +482,21 @@ class Gains:
         results = [self.known[w] for w in judged]
         if sum(r[0] for r in results if r[0] > 0) <= enough:
             return
+        if len(own) == 1:
+            (_, _, left, right), found = own[0], results[0][1]
+            name = max(found, key=lambda n: found[n][0])
+            yield found[name][0], name, text[:left] + found[name][1] + text[right:]
+            return
+        worth: dict[str, float] = {}
+        for r in results:
+            for name, (gain, _) in r[1].items():
+                if gain > 0:
+                    worth[name] = worth.get(name, 0.0) + gain
         seen = set()
-        for name in dict.fromkeys(n for _, r, _ in results for n, (g, _) in r.items() if g > 0):
-            forms = tuple(r.get(name) for _, r, _ in results)
+        for name, most in worth.items():
+            if most <= enough:
+                continue
+            forms = tuple(r[1].get(name) for r in results)
             if forms in seen:
                 continue
             seen.add(forms)
@@ -532,6 +541,10 @@ def _folded_bytes(x: str) -> dict[int, int]:
     return out
 
 
+#: Bytes that begin no UTF-8 sequence, and sequences that are whole.
+_GONE_ON = re.compile(b"(?:[\x00-\xc1\xf5-\xff]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+
+
 def mend(raw: bytes, x: str = "latin-1", space: int | None = None) -> bytes:
     """UTF-8 with some continuation bytes folded to ASCII or (U+00AD) dropped: put them back where one is due.
 
@@ -539,24 +552,24 @@ def mend(raw: bytes, x: str = "latin-1", space: int | None = None) -> bytes:
     """
     out = bytearray()
     folded = _folded_bytes(x)
-    due = 0
-    for b in raw:
-        if due:
-            due -= 1
-            if 0x80 <= b < 0xC0:
-                out.append(b)
-                continue
-            if b in folded and (b != 0x20 or space is None):
-                out.append(folded[b])
+    at, end = 0, len(raw)
+    while at < end:
+        if m := _GONE_ON.match(raw, at):
+            out += m.group()
+            at = m.end()
+            continue
+        out.append(raw[at])
+        due = 1 if raw[at] < 0xE0 else 2 if raw[at] < 0xF0 else 3
+        at += 1
+        while due and at < end:
+            b, due = raw[at], due - 1
+            if 0x80 <= b < 0xC0 or (b in folded and (b != 0x20 or space is None)):
+                out.append(folded.get(b, b) if b < 0x80 else b)
+                at += 1
                 continue
             out.append(space if b == 0x20 and space is not None else 0xAD)
-            if due and 0x80 <= b < 0xC0:
-                due -= 1
-                out.append(b)
-                continue
-            due = 0
-        out.append(b)
-        due = 1 if 0xC2 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3 if 0xF0 <= b < 0xF5 else 0
+            if not due or not 0x80 <= b < 0xC0:
+                break
     return bytes(out)
 
 
@@ -649,9 +662,12 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
     gains = gains_of(model) if gains is None else gains
     live = [i for i in range(n) if _SPEAKING.search(texts[i])]
     current = dict(zip(live, (texts[i] for i in live)))
-    for _ in range(rounds):
+    for k in range(rounds):
         after = []
-        for i, (gain, name, got) in zip(live, _best_chains([current[i] for i in live], model, gains)):
+        found, means = _best_chains([current[i] for i in live], model, gains)
+        if not k:
+            garbled[live] |= means < model.beyond
+        for i, (gain, name, got) in zip(live, found):
             if gain > model.margin:
                 path[i] = f"{path[i]} {name}".strip()
                 current[i] = best[i] = got
@@ -659,9 +675,6 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
                 if not got.isascii():
                     after.append(i)
         live = after
-    rest = [i for i in range(n) if not garbled[i] and i in current]
-    mean, foreign = doubt([texts[i] for i in rest], model)
-    garbled[np.array(rest, dtype=np.int64)[(mean < model.beyond) & (foreign >= SOME)]] = True
     return best, path, garbled
 
 
@@ -675,23 +688,13 @@ LEAST = 0.3
 SOME = 5
 
 
-def doubt(texts: list[str], model: CharModel) -> tuple[np.ndarray, np.ndarray]:
-    """Mean ln P of each text's characters outside ASCII, and their number; of texts with fewer than SOME of them no mean is taken."""
-    number = np.array([sum(map(len, _RUN.findall(t))) for t in texts], dtype=np.float64)
-    sums = np.zeros(len(texts))
-    some = np.flatnonzero(number >= SOME)
-    cut = [[texts[i][left:right] for _, _, left, right in windows(texts[i])] for i in some]
-    points, offsets = flatten([w for own in cut for w in own], 2, 1)
-    of_window = row_sums(np.where(points > 127, model.log_probs(points, offsets), 0.0), offsets)
-    np.add.at(sums, np.repeat(some, [len(own) for own in cut]), of_window)
-    return sums / np.maximum(1.0, number), number
-
-
-def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None) -> list[tuple[float, str, str]]:
-    """The likeliest chain of each text, or of stretches of it: its gain over the text itself, its name and its result."""
+def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None) -> tuple[list[tuple[float, str, str]], np.ndarray]:
+    """The likeliest chain of each text, or of stretches of it: its gain over the text itself, its name and its result. And the mean
+    ln P of each text's characters outside ASCII, 0 where there are fewer than SOME."""
     out: list[tuple[float, str, str]] = [(0.0, "", "")] * len(texts)
+    means = np.zeros(len(texts))
     if not texts:
-        return out
+        return out, means
     gains = gains_of(model) if gains is None else gains
     cut = [windows(t) for t in texts]
     judged = [[t[left:right] for _, _, left, right in own] for t, own in zip(texts, cut)]
@@ -706,10 +709,14 @@ def _best_chains(texts: list[str], model: CharModel, gains: Gains | None = None)
             for found in gains.best(texts[j], cut[j], LEAST):
                 if found[0] > out[j][0] + 1e-6:
                     out[j] = found
-            perhaps[j] = any(gains.known[w][2] for w in judged[j])
+            known = [gains.known[w] for w in judged[j]]
+            perhaps[j] = any(w[2] for w in known)
+            number = sum(map(len, _RUN.findall(texts[j]))) if known else 0
+            if number >= SOME:
+                means[j] = sum(w[3] for w in known) / number
         start, size = k + 1, 0
     _try_altered(texts, out, perhaps, model)
-    return out
+    return out, means
 
 
 def _try_altered(texts: list[str], out: list[tuple[float, str, str]], perhaps: list[bool], model: CharModel) -> None:
@@ -843,12 +850,12 @@ def _gain_batches(batches: Iterator[pd.DataFrame], model: CharModel) -> Iterator
             clean = [t for t, k in zip(whole[part], keep) if k]
             bad = [g for t in clean if (g := _probe(t, *PROBES[zlib.crc32(t.encode("utf-8", "surrogatepass")) % len(PROBES)])) and g != t]
             for side, texts in ((CLEAN, clean), (GARBLED, bad)):
-                found = np.array([g for g, _, _ in _best_chains(texts, model)])
+                chains, means = _best_chains(texts, model)
+                found = np.array([g for g, _, _ in chains])
                 step = np.clip(found / GAIN_STEP, 0, GAIN_STEPS - 1).astype(np.int64)
                 tally.add(side * GAIN_STEPS + step)
                 if side == CLEAN and texts:
-                    mean, foreign = doubt(texts, model)
-                    mean = mean[(foreign >= SOME) & (found <= LEAST)]
+                    mean = means[(means < 0) & (found <= LEAST)]
                     tally.add(MEANS * GAIN_STEPS + np.clip(-mean / GAIN_STEP, 0, 2 * GAIN_STEPS - 1).astype(np.int64))
                 if side == GARBLED and texts:
                     tally.add(HIDDEN * GAIN_STEPS + step[_looks_clean(texts)])
