@@ -422,7 +422,7 @@ def edit_scripts(leaves: DataFrame, files: DataFrame) -> DataFrame:
         present.join(chain, "file_id").select(F.col("next_file_id").alias("file_id"), "path", "types", F.lit("old").alias("side"))
     )
     both_trees = materialize(sides.groupBy("file_id", "path").agg(_types("old").alias("old_types"), _types("new").alias("new_types")), "schema-trees")
-    diff = both_trees.filter("not (old_types <=> new_types)")
+    diff = materialize(both_trees.filter("not (old_types <=> new_types)"), "schema-diff")  # by itself, so that its size is known
     gone = diff.filter("new_types is null").select("file_id", "path")
     come = diff.filter("old_types is null").select("file_id", "path")
     value = leaves.filter("rec is not null").select("file_id", "rec", "path", "type", F.xxhash64("value").alias("h1"), F.hash("value").alias("h2"))
