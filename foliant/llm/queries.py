@@ -49,6 +49,16 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(documents, edges=True).report(documents)
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Shared passages and the documents that hold them, without spelling out the pairs."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).passages()
+
+
+def p8_longest(spark: SparkSession, d: str) -> DataFrame:
+    """How long each document's longest shared passages are at least."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).longest()
+
+
 #: Overlap of consecutive pieces, in the unit of each limit.
 OVERLAP = 60
 
@@ -110,6 +120,8 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
+    "p8_passages": p8_passages,
+    "p8_longest": p8_longest,
 }
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

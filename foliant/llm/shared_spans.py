@@ -5,23 +5,26 @@ minima of their hash, so that any two texts with a common run of the wanted leng
 window. Windows repeated in another text are extended to twice their length, to the right and to the
 left; those still repeated are extended to the wanted length at every offset. Windows alone at one
 length are not looked at again. Equal texts are one class throughout and are told apart only in the
-result. Occurrences whose whole surroundings are equal are one class too, so a passage copied a
+result. Beyond the wanted length the doubling goes on, on sampled windows, until none survives, and
+tells how long the longest spans are. Occurrences whose whole surroundings are equal are one class too, so a passage copied a
 thousand times costs no more than once at the last level.
 
 Cases with a defined result: null texts and texts shorter than the wanted length share nothing; equal
 texts of that length or more share all; a passage repeated within one text only is not shared;
 repeated doc_ids are one record, whose texts are all looked at; texts of any length are read whole,
-in overlapping segments; extra columns are ignored; an empty table gives empty results. Windows are
-compared by 96 bits of hash.
+in overlapping segments; extra columns are ignored; an empty table gives empty results. Windows of the
+wanted length and longer are compared by 95 bits of hash, classes of surroundings by 128; the shorter
+windows before them by 64, where an accident only adds a candidate.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.codepoints import MIX, mix
@@ -173,7 +176,7 @@ def _extender(length: int, half: int):
 
 
 def _completer(length: int, half: int):
-    """Extends each repeated window of length ``half`` to ``length`` at every offset; emits around, shift, h, g."""
+    """Extends each repeated window of length ``half`` to ``length`` at every offset; emits around, around2, shift, h, g."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,13 +184,33 @@ def _completer(length: int, half: int):
                 w, v = Windows(points), Windows(points, 1)
                 k = np.repeat(np.arange(len(rows)), rows["places"].str.len().to_numpy(dtype=np.int64))
                 q = np.array([r["q"] for own in rows["places"] for r in own], dtype=np.int64)
-                around = np.array([r["around"] for own in rows["places"] for r in own], dtype=np.int64)
+                around, around2 = (np.array([r[c] for own in rows["places"] for r in own], dtype=np.int64) for c in ("around", "around2"))
                 shifts = np.arange(-(length - half), 1)
                 start = (offsets[k] + q)[:, None] + shifts
                 fits = (start >= offsets[k][:, None]) & (start + length <= offsets[k + 1][:, None])
                 at = start[fits]
                 yield pd.DataFrame({
-                    "around": np.broadcast_to(around[:, None], fits.shape)[fits], "shift": np.broadcast_to(shifts, fits.shape)[fits].astype(np.int32),
+                    "around": np.broadcast_to(around[:, None], fits.shape)[fits], "around2": np.broadcast_to(around2[:, None], fits.shape)[fits], "shift": np.broadcast_to(shifts, fits.shape)[fits].astype(np.int32),
+                    "h": w.at(at, at + length).view(np.int64), "g": (v.at(at, at + length) >> np.uint64(33)).astype(np.int32),
+                })
+
+    return run
+
+
+def _leveller(length: int):
+    """The windows of this length at given places that lie within their texts: doc_id, pos, h, g."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, points, offsets in _texts_together(batch):
+                w, v = Windows(points), Windows(points, 1)
+                k = np.repeat(np.arange(len(rows)), rows["places"].str.len().to_numpy(dtype=np.int64))
+                p = np.concatenate(rows["places"].to_list()).astype(np.int64)
+                fits = p + length <= np.diff(offsets)[k]
+                k, p = k[fits], p[fits]
+                at = offsets[k] + p
+                yield pd.DataFrame({
+                    "doc_id": rows["doc_id"].to_numpy()[k], "pos": p.astype(np.int32),
                     "h": w.at(at, at + length).view(np.int64), "g": (v.at(at, at + length) >> np.uint64(33)).astype(np.int32),
                 })
 
@@ -230,9 +253,9 @@ class SharedSpans:
 
         samples = materialize(texts.mapInPandas(_sampler(length, quarter), "doc_id long, pos int, h long"), "windows")
         samples = samples.join(doubles, "doc_id", "left_anti")
-        again = self._repeated(samples.select("h", "doc_id"), "h")
+        again = self._repeated(samples.select("h", "doc_id"), ["h"], ["doc_id"])
         places = samples.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-        held = materialize(_held(texts, places), "texts-with-repeats")
+        self.held = held = materialize(_held(texts, places), "texts-with-repeats")
 
         wider = materialize(held.mapInPandas(_extender(length, half), "doc_id long, q int, h long, lh long, lg int, rh long, rg int"), "wider-windows")
         groups = wider.groupBy("h").agg(
@@ -241,42 +264,81 @@ class SharedSpans:
         mixed = (F.col("l") | F.col("r")) if edges else (F.col("l") & F.col("r"))
         kept = wider.join(groups.select("h", mixed.alias("mixed")), "h")
         #: Occurrences of windows repeated at half the length; equal surroundings, one class.
-        self.places = materialize(kept.select("doc_id", "q", "lh", "lg", "rh", "rg", "mixed", F.xxhash64("lh", "rh", "lg", "rg").alias("around")), "half-windows")
-        first = self.places.filter("mixed").groupBy("around").agg(F.min(F.struct("doc_id", "q")).alias("x")).select("around", "x.doc_id", "x.q")
-        firsts = first.groupBy("doc_id").agg(F.collect_list(F.struct("q", "around")).alias("places"))
-        whole = held.select("doc_id", "text").join(firsts, "doc_id").mapInPandas(_completer(length, half), "around long, shift int, h long, g int")
+        self.places = materialize(kept.select("doc_id", "q", "lh", "lg", "rh", "rg", "mixed", F.xxhash64("lh", "rh", "lg", "rg").alias("around"), F.xxhash64(F.lit(7), "lh", "rh", "lg", "rg").alias("around2")), "half-windows")
+        first = self.places.filter("mixed").groupBy("around", "around2").agg(F.min(F.struct("doc_id", "q")).alias("x")).select("around", "around2", "x.doc_id", "x.q")
+        firsts = first.groupBy("doc_id").agg(F.collect_list(F.struct("q", "around", "around2")).alias("places"))
+        whole = held.select("doc_id", "text").join(firsts, "doc_id").mapInPandas(_completer(length, half), "around long, around2 long, shift int, h long, g int")
         whole = materialize(whole, "whole-windows")
-        shared = self._repeated(whole.select("h", "g", "around"), "h", "g", of="around")
+        shared = self._repeated(whole.select("h", "g", "around", "around2"), ["h", "g"], ["around", "around2"])
         #: (window of the full length, class) for windows in more than one class.
         self.windows = materialize(whole.join(shared, ["h", "g"], "left_semi"), "shared-windows")
 
     def _sides(self) -> DataFrame:
-        """The windows of the full length that begin or end with a window repeated at half the length: key, doc_id, start."""
+        """The windows of the full length that begin or end with a window repeated at half the length: h, g, doc_id, start."""
         rest = self.length - self.length // 2
-        both = [(F.xxhash64(f"{s}h", f"{s}g"), F.col(f"{s}g"), F.col("q") - (rest if s == "l" else 0)) for s in "lr"]
-        out = [self.places.filter(g >= 0).select(key.alias("key"), "doc_id", start.alias("s")) for key, g, start in both]
+        both = [(F.col(f"{s}h"), F.col(f"{s}g"), F.col("q") - (rest if s == "l" else 0)) for s in "lr"]
+        out = [self.places.filter(g >= 0).select(h.alias("h"), g.alias("g"), "doc_id", start.alias("s")) for h, g, start in both]
         return out[0].unionByName(out[1])
 
     @staticmethod
-    def _repeated(rows: DataFrame, *keys: str, of: str = "doc_id") -> DataFrame:
+    def _repeated(rows: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
         """Keys that occur with more than one value of ``of``; pre-aggregated, no group is collected."""
-        return rows.groupBy(*keys).agg(F.min(of).alias("_a"), F.max(of).alias("_b")).filter("_a <> _b").select(*keys)
+        ends = [f(c).alias(f"_{n}_{c}") for c in of for n, f in (("a", F.min), ("b", F.max))]
+        several = functools.reduce(Column.__or__, [F.col(f"_a_{c}") != F.col(f"_b_{c}") for c in of])
+        return rows.groupBy(*keys).agg(*ends).filter(several).select(*keys)
 
     @staticmethod
-    def _one_of_each(rows: DataFrame, key: str, member: str) -> DataFrame:
-        """One key for each different set of members, with its members; rows are distinct."""
-        sets = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), member)).alias("y"))
-        one = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min(key).alias(key)).select(key)
-        return rows.join(one, key, "left_semi")
+    def _one_of_each(rows: DataFrame, members: list[str]) -> DataFrame:
+        """One window (h, g) for each different set of members, with its members; rows are distinct."""
+        sets = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*members)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), *members)).alias("y"))
+        one = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("h").alias("h"), F.min_by("g", "h").alias("g")).select("h", "g")
+        return rows.join(one, ["h", "g"], "left_semi")
+
+    @functools.cached_property
+    def holders(self) -> DataFrame:
+        """Windows of the full length (h, g) with the records that hold them (doc_id), one window for each different set of records.
+
+        Any two different texts with a common run hold a window together here; of equal texts one record stands for all.
+        """
+        met = self._one_of_each(self.windows.select("h", "g", "around", "around2").distinct(), ["around", "around2"])
+        joined = met.join(self.places.select("around", "around2", "doc_id").distinct(), ["around", "around2"]).select("h", "g", "doc_id")
+        every = materialize(self._sides().select("h", "g", "doc_id").unionByName(joined).distinct(), "window-holders")
+        return materialize(self._one_of_each(every, ["doc_id"]), "holder-sets")
+
+    def passages(self) -> DataFrame:
+        """Passages with the records that hold them, one row per record of each: passage, doc_id.
+
+        Records with a common run hold a passage together, so no link between different texts is lost, and a passage in n records
+        has n rows. Records with equal texts are held together by a passage of their own and stand in the others by the first.
+        """
+        shared = self.holders.select(F.concat_ws(":", F.hex("h"), F.hex("g")).alias("passage"), "doc_id")
+        equal = self.members.select(F.concat_ws(":", F.lit("text"), "rep").alias("passage"), "doc_id")
+        return shared.unionByName(equal).distinct()
+
+    def longest(self) -> DataFrame:
+        """For each record with a repeated window the greatest length of the doubling at which one of its windows is repeated elsewhere.
+
+        A run common to two records of at least that length and what two samples may lie apart, ``length`` - ``length`` // 4
+        characters, is found. Equal texts are repeated in full.
+        """
+        level, places, reached = self.length // 2, self.held, []
+        while True:
+            windows = materialize(places.select("doc_id", "text", "places").mapInPandas(_leveller(level), "doc_id long, pos int, h long, g int"), "level-windows")
+            kept = materialize(windows.join(self._repeated(windows, ["h", "g"], ["doc_id"]), ["h", "g"], "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "level")
+            if not kept.limit(1).count():
+                break
+            if level >= self.length:
+                reached.append(kept.select("doc_id", F.lit(level).alias("n")))
+            places = self.held.select("doc_id", "text").join(kept, "doc_id")
+            level *= 2
+        equal = self.members.select("doc_id", "n")
+        every = functools.reduce(DataFrame.unionByName, reached, equal)
+        return every.groupBy("doc_id").agg(F.max("n").cast("bigint").alias("shared_at_least"))
 
     def pairs(self) -> DataFrame:
         """Pairs of different records with a common run: doc_id_a < doc_id_b. As many rows as there are pairs, no candidate pairs before."""
-        sides = self._sides().select("key", "doc_id")
-        met = self._one_of_each(self.windows.select(F.xxhash64("h", "g").alias("key"), "around").distinct(), "key", "around")
-        joined = met.join(self.places.select("around", "doc_id").distinct(), "around").select("key", "doc_id")
-        sets = materialize(self._one_of_each(materialize(sides.unionByName(joined).distinct(), "window-holders"), "key", "doc_id"), "holder-sets")
-        a, b = sets.withColumnRenamed("doc_id", "a"), sets.withColumnRenamed("doc_id", "b")
-        between = a.join(b, "key").filter("a < b").select("a", "b").distinct()
+        a, b = (self.holders.withColumnRenamed("doc_id", c) for c in "ab")
+        between = a.join(b, ["h", "g"]).filter("a < b").select("a", "b").distinct()
         # equal texts: each stands for its class, so pairs of classes become pairs of their members
         m = self.members.select("doc_id", "rep")
         ma, mb = m.select(F.col("rep").alias("a"), F.col("doc_id").alias("a2")), m.select(F.col("rep").alias("b"), F.col("doc_id").alias("b2"))
@@ -292,9 +354,9 @@ class SharedSpans:
         """
         if not self.edges:
             raise ValueError("coverage needs the exact ends of every span: edges=True")
-        met = self.windows.select("around", "shift", F.xxhash64("h", "g").alias("key")).join(self.places.select("around", "doc_id", "q"), "around")
-        found = self._sides().unionByName(met.select("key", "doc_id", (F.col("q") + F.col("shift")).alias("s"))).distinct()
-        elsewhere = found.join(self._repeated(found, "key"), "key", "left_semi")
+        met = self.windows.select("around", "around2", "shift", "h", "g").join(self.places.select("around", "around2", "doc_id", "q"), ["around", "around2"])
+        found = self._sides().unionByName(met.select("h", "g", "doc_id", (F.col("q") + F.col("shift")).alias("s"))).distinct()
+        elsewhere = found.join(self._repeated(found, ["h", "g"], ["doc_id"]), ["h", "g"], "left_semi")
         spans = merged(elsewhere.select("doc_id", "s").distinct().withColumn("e", F.col("s") + self.length))
         per = spans.groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
         return per

@@ -83,3 +83,27 @@ def test_copies_of_one_text_are_one_class(spark):
     rows = [(i, text) for i in range(12)] + [(99, "zz" + text[:80] + "yy")]
     pairs = sorted(map(tuple, ss.SharedSpans(frame(spark, rows), 40).pairs().collect()))
     assert pairs == brute(rows, 40)[0] and len(pairs) == 12 * 11 // 2 + 12
+
+
+def test_passages_keep_every_link_and_no_other(spark):
+    for seed in (4, 5):
+        rows = corpus(seed)
+        held, same = {}, {}
+        for r in ss.SharedSpans(frame(spark, rows), 40).passages().collect():
+            (same if r["passage"].startswith("text:") else held).setdefault(r["passage"], set()).add(r["doc_id"])
+        rep = {i: min(own) for own in same.values() for i in own}
+        links = {(a, b) for own in held.values() for a in own for b in own if a < b}
+        pairs = {(rep.get(a, a), rep.get(b, b)) for a, b in brute(rows, 40)[0]}
+        assert links == {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+        assert sum(map(len, same.values())) == 3
+
+
+def test_longest_doubles_until_none_survives(spark):
+    r = random.Random(7)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    long, short = word(900), word(60)
+    rows = [(1, word(30) + long + word(9)), (2, long[:700]), (3, short + word(50)), (4, word(20) + short), (5, word(300)), (6, short * 2), (7, "same " * 20), (8, "same " * 20)]
+    got = {x["doc_id"]: x["shared_at_least"] for x in ss.SharedSpans(frame(spark, rows), 40).longest().collect()}
+    assert got[1] == got[2] == 640 and got[7] == got[8] == 100 and 5 not in got
+    assert all(got.get(i, 40) == 40 for i in (3, 4, 6))
+    assert ss.SharedSpans(frame(spark, []), 40).longest().count() == 0
