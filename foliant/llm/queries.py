@@ -27,12 +27,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each repeated line of each site, with the clusters, dates and items that hold it."""
-    return _boilerplate(spark, d, with_dates=True).report()
+    return _boilerplate(spark, d).report()
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every document without its site's repeated lines."""
-    return _boilerplate(spark, d).cleaned()
+    return _boilerplate(spark, d, with_texts=True).cleaned()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
