@@ -332,7 +332,7 @@ class _Bits:
 _bits = _Bits()
 #: Windows whose results are kept by one task, and the least gain of a chain that is kept: a window on which the chain
 #: loses more is taken for one that does not belong to the chain's stretch.
-KEPT_WINDOWS, FLOOR = 60_000, -8.0
+KEPT_WINDOWS, FLOOR = 120_000, -8.0
 #: The least that counts for a window that is valid UTF-8.
 LEAST_VALID = -2.0
 #: What it costs to begin or end a chain's stretch inside a text.
