@@ -43,6 +43,30 @@ def metrics(pairs: DataFrame, all_predictions: DataFrame, pages: DataFrame, by:
     )
 
 
+def ratios(pairs: DataFrame, predictions: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """Every measure of a group as one row: by, metric, numerator, denominator, value (null where the denominator is 0).
+
+    pairs and predictions as for ``metrics``; densities count all predictions over the group's pages, at least one.
+    """
+    e, p, d = F.col("expected"), F.col("predicted"), F.col("directive")
+    n = lambda c: F.count_if(c)
+    hit = lambda v: n((e == v) & (p == v))
+    familiar = n(e == "familiar")
+    of_pairs = {
+        "delta_precision": (hit("delta"), n(p == "delta")), "delta_recall": (hit("delta"), n(e == "delta")), "bridge_precision": (hit("bridge"), n(p == "bridge")), "bridge_recall": (hit("bridge"), n(e == "bridge")),
+        "familiar_suppression_rate": (n((e == "familiar") & d.isin("soft_fade", "leave_normal")), familiar), "known_as_delta_rate": (n((e == "familiar") & (p == "delta")), familiar),
+        "familiar_highlight_rate": (n((e == "familiar") & (d == "highlight")), familiar), "over_annotation_rate": (n((e == "familiar") & ~d.isin("soft_fade", "leave_normal")), F.count(F.lit(1))),
+    }
+    of_pages = {"visible_per_page": d != "leave_normal", "highlight_per_page": d == "highlight", "callout_per_page": d == "callout", "soft_fade_per_page": d == "soft_fade"}
+    long = lambda rows, names: rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_n").alias("numerator"), F.col(f"{m}_d").alias("denominator")) for m in names])).alias("x")).select(*by, "x.*")
+    labelled = pairs.groupBy(*by).agg(*[c.alias(f"{m}_{s}") for m, two in of_pairs.items() for s, c in zip("nd", two)])
+    shown = predictions.groupBy(*by).agg(*[n(c).alias(f"{m}_n") for m, c in of_pages.items()]).join(pages, by, "left")
+    shown = shown.withColumns({f"{m}_d": F.greatest(F.coalesce("n_pages", F.lit(0)), F.lit(1)).cast("bigint") for m in of_pages})
+    coverage = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("gold_coverage_d")).join(pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("gold_coverage_n")), by, "left").withColumn("gold_coverage_n", F.coalesce("gold_coverage_n", F.lit(0)))
+    rows = long(labelled, of_pairs).unionByName(long(shown, of_pages)).unionByName(long(coverage, ["gold_coverage"]))
+    return rows.withColumn("value", ratio(F.col("numerator"), F.col("denominator")))
+
+
 def error_groups(pairs: DataFrame) -> DataFrame:
     """Each labelled sentence once per group of errors it falls in."""
     e, p, d = F.col("expected"), F.col("predicted"), F.col("directive")

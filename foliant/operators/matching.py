@@ -108,15 +108,16 @@ def _inner_pairs(spoken: Column) -> Column:
 
 
 def pages_holding(parts: DataFrame, pages: DataFrame) -> DataFrame:
-    """parts (document_id, part, ...) with the pages (document_id, other, whole) of their document that contain them.
+    """parts (document_id, part, ...) with the pages (document_id, other, whole; one row each) of their document that contain them.
 
     A part of four words or more has two inner words that stand whole in any page holding it, so those
-    two are the join key; only shorter parts meet every page of their document.
+    two are the join key; only shorter parts meet every page of their document. Pages are met by their
+    keys alone and their texts fetched for the pages met.
     """
     spoken = words(F.col("part"))
     marked = parts.withColumn("key", F.when(F.size(spoken) >= 4, F.xxhash64(F.element_at(spoken, 2), F.element_at(spoken, 3))))
-    keyed = pages.withColumn("key", F.explode(_bound(words(F.col("whole")), _inner_pairs)))
-    long = marked.filter("key is not null").join(keyed, ["document_id", "key"])
+    keyed = pages.select("document_id", "other", F.explode(_bound(words(F.col("whole")), _inner_pairs)).alias("key"))
+    long = marked.filter("key is not null").join(keyed, ["document_id", "key"]).join(pages, ["document_id", "other"])
     short = marked.filter("key is null").join(pages, "document_id")
     return long.drop("key").unionByName(short.drop("key")).filter(F.contains("whole", "part"))
 

@@ -17,14 +17,27 @@ def _pieces(text: Column, closers: bool) -> Column:
     return F.split(F.regexp_replace(text, f"{ends}([{WS}])", f"$1{_MARK}$2"), _MARK)
 
 
+#: Pieces summed up in one fold; a fold copies its array at each step.
+_BLOCK = 256
+
+
+def _starts(pieces: Column, unit) -> Column:
+    """Where each piece starts: the sizes of those before it added up, within blocks and over the blocks."""
+    running = lambda sizes, first: F.aggregate(sizes, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    sizes = F.transform(pieces, unit)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
+    firsts = running(F.transform(blocks, lambda own: F.aggregate(own, F.lit(0), lambda a, n: a + n)), F.lit(0))
+    within = F.zip_with(blocks, F.slice(firsts, 1, F.size(blocks)), lambda own, first: F.slice(running(own, first), 1, F.size(own)))
+    return F.flatten(within)
+
+
 def sentence_spans(text: Column, closers: bool = True, unit=utf16_length) -> Column:
     """array<struct<sent_no, text, start, end>> of the sentences, trimmed, in ``unit``; null text has none.
 
-    Offsets are running sums of the pieces before, kept in one fold, so nothing is shuffled.
+    Offsets are running sums of the pieces before, in folds of a row, so nothing is shuffled.
     """
     pieces = _pieces(text, closers)
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + unit(p))))
-    spans = F.zip_with(pieces, F.slice(starts, 1, F.size(pieces)), lambda p, s: F.struct(
+    spans = F.zip_with(pieces, _starts(pieces, unit), lambda p, s: F.struct(
         trim(p).alias("text"), (s + unit(p) - unit(F.regexp_replace(p, f"^[{WS}]+", ""))).alias("start"),
     ))
     kept = F.filter(spans, lambda x: x["text"] != "")

@@ -21,6 +21,12 @@ def unexpired(rows: DataFrame, column: str, now: Column, hours: int = 6) -> Data
     return rows.filter(F.col(column) >= now - F.make_dt_interval(hours=F.lit(hours)))
 
 
+def unexpired_at_last(rows: DataFrame, column: str, hours: int = 6) -> DataFrame:
+    """Rows not older than ``hours`` before the last one; the maximum is one row of the plan, not looked up while it is built."""
+    last = F.broadcast(rows.agg(F.max(column).alias("_now")))
+    return unexpired(rows.join(last, F.col(column).isNotNull()), column, F.col("_now"), hours).drop("_now")
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -551,8 +551,7 @@ def same_content(s, d):
 def unexpired_documents(s, d):
     """Documents of the six hours before the last upload."""
     rows = table(s, d, "documents").select("doc_id", "uploaded_at")
-    now = rows.agg(F.max("uploaded_at").alias("now")).first()["now"]
-    return store.unexpired(rows, "uploaded_at", F.lit(now).cast("timestamp_ntz"))
+    return store.unexpired_at_last(rows, "uploaded_at")
 
 
 @query("""SELECT m.document_id, m.page_count, coalesce(n, 0) AS n_pages, coalesce(n, 0) = m.page_count AS complete FROM (SELECT * FROM canonical_models QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ingested_at DESC NULLS LAST, model_key DESC) = 1) m

@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "foliant", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,12 +35,26 @@ def get_spark(app: str = "foliant", master: str | None = None, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever their working directory."""
+    """Let Python workers import this package, whatever their machine and working directory: once per application as an archive
+    that executors fetch, and where driver and workers are one machine's processes by the driver's path."""
+    context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if context.master.startswith("local["):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    elif context.applicationId not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="foliant-code-")  # the driver serves it from here, for as long as it runs
+        atexit.register(shutil.rmtree, folder, True)
+        archive = os.path.join(folder, "foliant.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for at, _, names in os.walk(os.path.join(root, "foliant")):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(at, name)
+                        out.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
