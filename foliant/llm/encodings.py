@@ -274,12 +274,12 @@ FEW_SIGNS = 3
 
 class _Bits:
     """By code point below 0x10000, bits for the codecs X: it can write the character; there is a beginning of a UTF-8 sequence
-    and its continuation within the character's bytes; its last byte begins one; its first one goes on with one; it has one byte,
-    or two, outside ASCII."""
+    and its continuation within the character's bytes; its last byte begins one; its first one goes on with one; its first byte, or
+    one behind, is outside ASCII; and is one that goes on with a sequence. In multi-byte codecs no byte folded to ASCII goes on."""
 
     def __init__(self) -> None:
         self.known = np.zeros(1 << 16, dtype=bool)
-        self.can, self.inner, self.ends, self.starts, self.high, self.high2 = (np.zeros(1 << 16, dtype=np.uint32) for _ in range(6))
+        self.can, self.inner, self.ends, self.starts, self.high, self.high2, self.cont, self.cont2 = (np.zeros(1 << 16, dtype=np.uint32) for _ in range(8))
 
     def learn(self, low: np.ndarray) -> None:
         seen = np.zeros(1 << 16, dtype=bool)
@@ -291,9 +291,10 @@ class _Bits:
                 if raw is not None:
                     bit = np.uint32(1 << i)
                     self.can[c] |= bit
+                    goes_on = _GOES_ON if i < len(SINGLE_BYTE) else _CONTINUES
                     for table, holds in (
-                        (self.inner, any(_BEGINS[b] and _GOES_ON[d] for b, d in zip(raw, raw[1:]))), (self.ends, _BEGINS[raw[-1]]), (self.starts, _GOES_ON[raw[0]]),
-                        (self.high, raw[0] > 127), (self.high2, len(raw) > 1 and raw[1] > 127),
+                        (self.inner, any(_BEGINS[b] and goes_on[d] for b, d in zip(raw, raw[1:]))), (self.ends, _BEGINS[raw[-1]]), (self.starts, goes_on[raw[0]]),
+                        (self.high, raw[0] > 127), (self.high2, any(b > 127 for b in raw[1:])), (self.cont, _CONTINUES[raw[0]]), (self.cont2, any(_CONTINUES[b] for b in raw[1:])),
                     ):
                         if holds:
                             table[c] |= bit
@@ -301,8 +302,8 @@ class _Bits:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each of the texts, none of them empty: the codecs that can write it, and those under which enough UTF-8 sequences
-        begin and go on (a third of its bytes outside ASCII begin one, a quarter for multi-byte codecs; and one of them, in a text of more
-        than a few such characters, with a byte that is no ASCII now)."""
+        begin and go on: a third of its bytes outside ASCII begin one, and one of them, in a text of more than a few such characters,
+        with a byte that is no ASCII now; for multi-byte codecs a quarter begin one, and two in five can go on with one."""
         points, offsets = flatten(texts)
         low = np.where(points < 1 << 16, points, 0xFFFF)
         self.learn(low)
@@ -322,7 +323,10 @@ class _Bits:
             for i in range(len(SINGLE_BYTE + MULTI_BYTE)):
                 pairs = ones(pair)
                 if pairs.any():
-                    enough = (pairs > 0) & (pairs * (3 if i < len(SINGLE_BYTE) else 4) >= ones(self.high[here]) + ones(self.high2[here]))
+                    high = ones(self.high[here]) + ones(self.high2[here])
+                    enough = (pairs > 0) & (pairs * (3 if i < len(SINGLE_BYTE) else 4) >= high)
+                    if i >= len(SINGLE_BYTE):
+                        enough &= 5 * (ones(self.cont[here]) + ones(self.cont2[here])) >= 2 * high
                     opens[some] |= enough.astype(np.uint32) << np.uint32(i)
             short = np.diff(start)[some] <= FEW_SIGNS
             opens[some] &= np.where(short, np.uint32(0xFFFFFFFF), np.bitwise_or.reduceat(whole, first))
@@ -577,6 +581,7 @@ _LOST = re.compile("\ufffd+")
 #: A beginning of a UTF-8 sequence that isn't gone on with.
 _BROKEN = re.compile(b"[\xc2-\xf4](?![\x80-\xbf])|[\xe0-\xf4][\x80-\xbf](?![\x80-\xbf])|[\xf0-\xf4][\x80-\xbf]{2}(?![\x80-\xbf])")
 _ASCII_OR_LOST = re.compile("[\x00-\x7f\ufffd]")
+_CONTINUES = np.array([0x80 <= b < 0xC0 for b in range(256)])
 _BEGINS, _GOES_ON = (np.array([re.fullmatch(p, bytes([b])) is not None for b in range(256)]) for p in (b"[\xc2-\xf4]", b"[\x80-\xbf 123ao]"))
 
 
@@ -585,6 +590,7 @@ def damaged_forms(text: str, codecs: int) -> Iterator[tuple[str, str]]:
 
     ``codecs`` are those under which enough UTF-8 sequences begin, as bits.
     """
+    read: dict[bytes, str] = {}
     while codecs:
         i = (codecs & -codecs).bit_length() - 1
         codecs &= codecs - 1
@@ -596,9 +602,12 @@ def damaged_forms(text: str, codecs: int) -> Iterator[tuple[str, str]]:
         else:
             raws = {b"\xff".join(part.encode(x, "replace") for part in text.split("\ufffd")): None}
         for raw in raws:
-            got = _LOST.sub("\ufffd", raw.decode("utf-8", "replace"))
-            lost = got.count("\ufffd")
-            if got not in seen and lost * 4 <= len(got) and lost < len(got) - len(_ASCII_OR_LOST.findall(got)):
+            if raw not in read:
+                got = _LOST.sub("\ufffd", raw.decode("utf-8", "replace"))
+                lost = got.count("\ufffd")
+                read[raw] = got if lost * 4 <= len(got) and lost < len(got) - len(_ASCII_OR_LOST.findall(got)) else text
+            got = read[raw]
+            if got not in seen:
                 seen.add(got)
                 yield f"{x}>utf-8 in part", got
 
@@ -680,8 +689,8 @@ def restore(texts: list[str], model: CharModel, gains: Gains | None = None, roun
 
 #: Forms that are scored at a time.
 AT_A_TIME = 20_000
-#: Chains that gain less than this on a text are not considered.
-LEAST = 0.3
+#: Chains that gain less than this on a text are not considered; no margin is below it.
+LEAST = 1.0
 
 
 #: Characters outside ASCII from which on a text is garbled, even if no chain restores it, where their mean ln P is below the model's ``beyond``.
@@ -879,7 +888,7 @@ def best_margin(gains: np.ndarray, default: float) -> float:
     accepted = np.maximum.accumulate(np.maximum(left, 0.0)[::-1])[::-1]  # gain at or over the step's lower bound
     missed = np.concatenate([[0], bad.cumsum()[:-1]]) * max(1.0, unclear.sum()) / bad.sum()
     wrong = accepted + missed
-    steps = np.arange(4, GAIN_STEPS)  # below a margin of 1 chance decides
+    steps = np.arange(int(LEAST / GAIN_STEP), GAIN_STEPS)  # below chance decides
     best = steps[wrong[steps] <= wrong[steps].min() + 1e-9] * GAIN_STEP
     return float(best[np.argmin(np.abs(best - default))])
 

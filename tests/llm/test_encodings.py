@@ -120,9 +120,11 @@ def test_bits_of_all_texts_at_once():
             chars = [en._raw(c, x) if c != "\ufffd" else None for c in text]
             assert bool(can[k] >> i & 1) == (None not in chars)
             raw = [(b, j) for j, c in enumerate(chars) for b in (c if c is not None else b"?")]
-            begun = [d for (b, j), (d, _) in zip(raw, raw[1:]) if en._BEGINS[b] and en._GOES_ON[d] and chars[j] is not None]
+            goes_on = en._GOES_ON if x in en.SINGLE_BYTE else en._CONTINUES
+            begun = [d for (b, j), (d, _) in zip(raw, raw[1:]) if en._BEGINS[b] and goes_on[d] and chars[j] is not None]
             high = sum(b > 127 for b, _ in raw)
             whole = sum(not c.isascii() for c in text) <= en.FEW_SIGNS or any(d > 127 for d in begun)
+            whole &= x in en.SINGLE_BYTE or 5 * sum(en._CONTINUES[b] for b, _ in raw) >= 2 * high
             assert bool(opens[k] >> i & 1) == (len(begun) > 0 and len(begun) * (3 if x in en.SINGLE_BYTE else 4) >= high and whole), (text, x)
 
 
