@@ -66,11 +66,11 @@ def top_or_first(rows: DataFrame, preferred: Column, by: str, most: int, fallbac
     return kept.filter(F.col("rank") <= F.when(F.col("_any") == 1, most).otherwise(fallback)).drop("_any", "_pref")
 
 
-def likely_cause(reason: Column, familiar: Column, known: Column, expected: Column) -> Column:
-    """Why a sentence was probably judged wrongly: first cause that applies."""
+def likely_cause(reason: Column, familiar: Column, known: Column, expected: Column, predicted: Column, directive: Column) -> Column:
+    """Why a sentence was probably judged wrongly: first cause that applies. ``directive`` is the expected one."""
     return (
         F.when(F.contains(F.lower(reason), F.lit("ambiguous")), "ambiguous_label").when(familiar, "familiar_overlap").when(known, "known_overlap")
-        .when(expected == "bridge", "bridge_as_delta").otherwise("unknown")
+        .when((expected == "bridge") & (predicted == "delta"), "bridge_as_delta").when(directive == "leave_normal", "low_value").otherwise("unknown")
     )
 
 

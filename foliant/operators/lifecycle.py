@@ -15,12 +15,12 @@ STATES = ("rendered_inline", "inline_fallback_without_usable_match", "rendered_a
 FALLBACK_SHARE = 0.82
 
 
-def page_lifecycle(rows: DataFrame, items: DataFrame) -> DataFrame:
+def page_lifecycle(rows: DataFrame, items: DataFrame, focus: bool = False) -> DataFrame:
     """The final state of each annotation: rows (unit, document_id, page, text, priority, directive, confidence, source), items.
 
     Valid annotations with an inline directive are looked for in their page: exactly, else by phrase windows; what is found is
     turned into items, which are the spans, and the spans are allocated under the page's caps. A unit without any match whose
-    style is delta takes the lines most like it instead. Each unit is one row; null texts are never found; annotations on pages
+    style is delta takes the lines most like it instead. In ``focus`` phrases must be longer and caps are lower. Each unit is one row; null texts are never found; annotations on pages
     without items are dropped as unmatched.
     """
     valid = annotations.is_valid(F.col("priority"), F.col("directive"), F.col("confidence"))
@@ -29,7 +29,7 @@ def page_lifecycle(rows: DataFrame, items: DataFrame) -> DataFrame:
     ranges = diagnostics.match_ranges(items.filter("str is not null"))
     inline = units.filter("style is not null and part <> ''").select("unit", *PAGE, "style", "confidence", "part")
     found = inline.join(diagnostics.match_text(ranges), PAGE).select("unit", *PAGE, "style", "confidence", "part", F.explode(matching.phrase_matches(F.col("whole"), F.col("part"))).alias("m"))
-    needed = matching.words_needed(F.col("confidence"), F.col("style"))
+    needed = matching.words_needed(F.col("confidence"), F.col("style"), focus)
     exact = (F.col("m.end") - F.col("m.start")) == F.char_length("part")
     matches = found.select("unit", *PAGE, "style", "confidence", "m.start", "m.end", (exact | (F.col("m.words") >= needed)).alias("safe"), exact.alias("exact"))
     per_unit = matches.groupBy("unit").agg(F.count(F.lit(1)).alias("n_matches"), F.count_if("safe").alias("n_safe"), F.sum(F.col("end") - F.col("start")).alias("matched"), F.count_if(~F.col("exact")).alias("n_phrases"))
@@ -41,7 +41,7 @@ def page_lifecycle(rows: DataFrame, items: DataFrame) -> DataFrame:
     asked = held.join(inline.select("unit", "style", "confidence"), "unit").select(
         *PAGE, F.col("unit").cast("string").alias("unit"), "style", F.when(F.col("repaired"), F.col("confidence") * FALLBACK_SHARE).otherwise(F.col("confidence")).alias("confidence"), F.col("unit").alias("ordinal"), "spans")
     counts = ranges.groupBy(*PAGE).agg(F.count(F.lit(1)).cast("int").alias("n_spans"))
-    given = allocation.allocate(asked, counts).groupBy(F.col("unit").cast(units.schema["unit"].dataType).alias("unit")).agg(F.max(F.size("spans")).alias("n_spans"), F.min("result").alias("result"))
+    given = allocation.allocate(asked, counts, allocation.FOCUS_STYLES if focus else allocation.STYLES).groupBy(F.col("unit").cast(units.schema["unit"].dataType).alias("unit")).agg(F.max(F.size("spans")).alias("n_spans"), F.min("result").alias("result"))
     joined = units.join(per_unit, "unit", "left").join(held.select("unit", "repaired"), "unit", "left").join(given, "unit", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     share = F.least(F.lit(1.0), F.coalesce(F.try_divide(zero("matched").cast("double"), F.char_length("part")), F.lit(0.0)))

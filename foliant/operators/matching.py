@@ -61,8 +61,10 @@ def phrase_matches(page_form: Column, part_form: Column) -> Column:
     return F.when(part_form == "", none).when(F.contains(page_form, part_form), F.array(_exact(page_form, part_form)).cast(_MATCH)).otherwise(searched)
 
 
-def words_needed(confidence: Column, style: Column) -> Column:
-    """How many words a phrase match needs to be shown, by style and confidence."""
+def words_needed(confidence: Column, style: Column, focus: bool = False) -> Column:
+    """How many words a phrase match needs to be shown, by style and confidence; in focus more, whatever the confidence."""
+    if focus:
+        return F.when(style == "delta", 20).otherwise(24)
     return F.when(style == "delta", F.greatest(F.lit(12), round_half_up(20 - 8 * confidence))).otherwise(F.lit(18)).cast("int")
 
 

@@ -680,13 +680,13 @@ def quest_anchors(s, d):
     return diagnostics.top_or_first(rows, preferred, "document_id", 5, 2, "candidate_key").select("document_id", "candidate_key", "rank")
 
 
-@query(f"""SELECT p.document_id, p.sentence_id, c.text, p.expected, p.predicted, CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' THEN 'bridge_as_delta' ELSE 'unknown' END AS cause
+@query(f"""SELECT p.document_id, p.sentence_id, c.text, p.expected, p.predicted, CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' AND p.predicted = 'delta' THEN 'bridge_as_delta' WHEN {_DIRECTIVE_SQL} = 'leave_normal' THEN 'low_value' ELSE 'unknown' END AS cause
   FROM {_PAIRS} p JOIN {_LAST_EXPORT} c USING (document_id, sentence_id) JOIN {_FIRST_LABEL} l USING (document_id, sentence_id) WHERE p.expected <> p.predicted""")
 def error_details(s, d):
     """Wrongly predicted sentences with text and likely cause: labels, predictions and candidates joined on one key."""
     pairs = _pairs(s, d)[0].filter("expected <> predicted")
-    rows = pairs.join(_last_exports(s, d).select(*SENT, "text", "tags"), SENT).join(_first_labels(s, d).select(*SENT, "reason"), SENT)
-    cause = diagnostics.likely_cause(F.col("reason"), F.col("expected") == "familiar", F.coalesce(F.array_contains("tags", "very_short"), F.lit(False)), F.col("expected"))
+    rows = pairs.join(_last_exports(s, d).select(*SENT, "text", "tags"), SENT).join(_first_labels(s, d).select(*SENT, "reason", annotations.directive(F.col("expected_directive")).alias("wanted")), SENT)
+    cause = diagnostics.likely_cause(F.col("reason"), F.col("expected") == "familiar", F.coalesce(F.array_contains("tags", "very_short"), F.lit(False)), F.col("expected"), F.col("predicted"), F.col("wanted"))
     return rows.select(*SENT, "text", "expected", "predicted", cause.alias("cause"))
 
 
@@ -699,7 +699,7 @@ def candidates_on_chunked_pages(s, d):
 # reviews
 
 
-@query(f"""SELECT cause, count(*) AS n FROM (SELECT CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' THEN 'bridge_as_delta' ELSE 'unknown' END AS cause
+@query(f"""SELECT cause, count(*) AS n FROM (SELECT CASE WHEN contains(lower(l.reason), 'ambiguous') THEN 'ambiguous_label' WHEN p.expected = 'familiar' THEN 'familiar_overlap' WHEN list_contains(c.tags, 'very_short') THEN 'known_overlap' WHEN p.expected = 'bridge' AND p.predicted = 'delta' THEN 'bridge_as_delta' WHEN {_DIRECTIVE_SQL} = 'leave_normal' THEN 'low_value' ELSE 'unknown' END AS cause
   FROM {_PAIRS} p JOIN {_LAST_EXPORT} c USING (document_id, sentence_id) JOIN {_FIRST_LABEL} l USING (document_id, sentence_id) WHERE p.expected <> p.predicted) GROUP BY 1""")
 def error_causes(s, d):
     return error_details(s, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))

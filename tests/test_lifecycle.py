@@ -35,6 +35,12 @@ def test_states_and_reasons(spark):
     }
 
 
+def test_focus_has_lower_caps(spark):
+    rows = [one(n, LINES[n]) for n in range(4)]
+    shown = lambda focus: lifecycle.page_lifecycle(spark.createDataFrame(rows, ROWS), spark.createDataFrame([("d", 1, n, t) for n, t in enumerate(LINES)], ITEMS), focus).filter("state = 'rendered_inline'").count()
+    assert (shown(False), shown(True)) == (3, 2)
+
+
 def test_a_delta_without_a_match_takes_lines_like_it(spark):
     words = LINES[6].split(" ")
     (row,) = states(spark, [one(1, " ".join(words[:3] + ["quite", "another"] + words[3:6]))]).collect()

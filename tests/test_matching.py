@@ -44,6 +44,7 @@ def test_phrase_windows_equal_a_plain_search(spark):
 def test_words_needed(spark):
     df = spark.createDataFrame([("delta", 0.0), ("delta", 1.0), ("familiar", 0.9)], "s string, c double")
     assert [r[0] for r in df.select(matching.words_needed(F.col("c"), F.col("s"))).collect()] == [20, 12, 18]
+    assert [r[0] for r in df.select(matching.words_needed(F.col("c"), F.col("s"), focus=True)).collect()] == [20, 20, 24]
 
 
 def test_best_window(spark):
