@@ -128,8 +128,20 @@ def compares_numbers(form: Column) -> Column:
     return form.rlike("[0-9]") & (form.rlike("[%<>]| percent| versus | compared | than ") | both)
 
 
+# Letters whose capital form is written with several characters, and the one character that is theirs (themselves where there is none).
+_SEVERAL = "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))) if len(c.upper()) > 1)
+_ONE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL)
+
+
+def lower_each(text: Column) -> Column:
+    """Lower case, character by character: a sigma is the same wherever it stands, and a dotted capital I becomes one letter."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
 def title_case(word: Column) -> Column:
-    return F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, F.lit(2), F.char_length(word)))
+    """The first character as a capital, one for one."""
+    first = F.left(word, F.lit(1))
+    return F.concat(F.when(first.isin(*_SEVERAL), F.translate(first, _SEVERAL, _ONE)).otherwise(F.upper(first)), F.substring(word, F.lit(2), F.char_length(word)))
 
 
 def enum_token(value: Column) -> Column:

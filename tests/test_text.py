@@ -1,7 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import measure as ms, text as tx
+from foliant.operators import concepts
+from foliant.plans import corpus
 
 
 def value(spark, column, **cells):
@@ -76,3 +79,19 @@ def test_ratios_and_rounding(spark):
     assert value(spark, ms.ratio(F.lit(1), F.lit(0))) is None and value(spark, ms.ratio_or_zero(F.lit(1), F.lit(0))) == 0.0
     assert [value(spark, ms.round_half_up(F.lit(x))) for x in (2.5, -2.5, 1.4)] == [3, -2, 1]
     assert value(spark, tx.dice(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array(F.lit("b"), F.lit("c")))) == 0.5
+
+
+def test_keywords_change_case_one_character_at_a_time(spark):
+    texts = ["ßahne ßahne", "ΟΔΟΣ οδος", "İstanbul", "ŉamibia ǰanuar", "ᾳδης և՜ևրոպա", "ﬁnance"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {(r["doc_id"], r["word"], r["n"]) for r in concepts.keyword_counts(rows, "text", "doc_id").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id int, text text)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == set(con.execute(f"SELECT doc_id, word, n FROM {corpus._KEYWORDS}").fetchall())
+    assert (0, "ẞahne", 2) in got and (1, "Οδοσ", 1) in got and (2, "Istanbul", 1) in got
+
+
+@pytest.mark.parametrize("first", ["ß", "ŉ", "ǰ", "ᾀ", "ᾳ", "ﬁ", "և"])
+def test_a_capital_is_one_character(spark, first):
+    assert of(spark, tx.title_case, first + "abc") == duckdb.execute("SELECT upper(?)", [first]).fetchone()[0] + "abc"
