@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,29 @@ def test_empty_corpus(spark):
     model = en.fit(empty)
     assert en.repair(empty, model).count() == 0
     assert en.restore(["é�", "schön"], model)[2].tolist() == [True, False]
+
+
+def test_judging_tells_what_restoring_tells(trained, data):
+    rows = pq.read_table(f"{data}/text_items.parquet", columns=["str"]).column("str").to_pylist()
+    texts = [t for t in dict.fromkeys(rows) if t and not t.isascii()]
+    texts += [g for t in texts[:400] for w, r in (("utf-8", "cp1252"), ("cp1251", "latin-1"), ("euc_jp", "latin-1"), ("big5", "cp1252")) if (g := en._probe(t, w, r))]
+    assert np.array_equal(en.judge(texts, trained), en.restore(texts, trained)[2])
+    assert en.Repairer(trained).mask([None, "plain", *texts[:50]]).tolist() == [False, False, *en.restore(texts[:50], trained)[2]]
+    assert en.judge([], trained).tolist() == []
+
+
+def test_the_gate_of_multi_byte_encodings_keeps_all_that_decodes(trained):
+    gains, rng = en.gains_of(trained), np.random.default_rng(5)
+    raws = [bytes(rng.choice(rng.integers(0, 256, 12), rng.integers(1, 9)).astype(np.uint8)) for _ in range(20_000)]
+    raws += [t.encode(y, "ignore") for t in ("这是一个句子。", "文字化けの例ｶﾅ", "한국어 문장", "𠀀丂Ä") for y in en.WRITTEN_MULTI]
+    raws = [r for r in raws if r]
+    kept, tried = gains._readable(raws, np.full(len(raws), -40.0)), 0
+    for raw, row in zip(raws, kept):
+        for y, may in zip(en.WRITTEN_MULTI, row):
+            try:
+                points, _ = en.flatten([raw.decode(y)])
+            except UnicodeDecodeError:
+                continue
+            tried += 1
+            assert may or gains.most[np.minimum(points, 0xFFFF)].sum() <= -40.0
+    assert tried > 1000 and kept.mean() < 0.9
