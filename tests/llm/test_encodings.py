@@ -262,3 +262,10 @@ def test_the_gate_of_multi_byte_encodings_keeps_all_that_decodes(trained):
             tried += 1
             assert may or gains.most[np.minimum(points, 0xFFFF)].sum() <= -40.0
     assert tried > 1000 and kept.mean() < 0.9
+
+
+def test_a_model_is_sent_once_for_all_jobs(spark, trained):
+    assert trained.share(spark) is trained.share(spark)
+    records = spark.createDataFrame([(1, "Ã©tÃ© Ã  la mer"), (2, "été à la mer"), (3, "plain"), (4, None)], "rec_key long, text string")
+    shared = trained.shared
+    assert [r["rec_key"] for r in en.garbled_keys(records, trained).collect()] == [1] and trained.shared is shared
